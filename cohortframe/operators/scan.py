@@ -1,20 +1,23 @@
 """Running totals, ranks and quantiles inside groups of any size.
 
-A plain ``Window.partitionBy(group).orderBy(value)`` sends a whole group to one task.  Here a
-group above ``block_rows`` rows is cut into value ranges first; each range is accumulated
-alone and the totals of the ranges before it are added.  The cut points are values picked by
-their hash, so they depend on the data only and a task that is run again after the loss of an
-executor finds the same ranges.  Smaller groups stay in one range and cost nothing extra.
+A plain ``Window.partitionBy(group).orderBy(value)`` sends a whole group to one task.  Here the
+input, usually a histogram, is materialised once and its largest group measured.  Up to
+``block_rows`` rows the plain window is used.  Beyond that every group is cut into value
+ranges, each range is accumulated alone, and the totals of the ranges before it are added.
+The cut points are values picked by their hash, so they depend on the data only, and a task
+that runs again after the loss of an executor finds the same ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
 from .keyed import join_groups
 
 BLOCK_ROWS = 4_000_000
@@ -28,66 +31,83 @@ _JOIN = {
 }
 
 
-def with_blocks(
+@dataclass(frozen=True)
+class Ordered:
+    """Rows with an ``__order`` column; ``split`` says that they carry ``__block`` numbers."""
+
+    df: DataFrame
+    by: tuple[str, ...]
+    split: bool
+
+    def having(self, df: DataFrame) -> Ordered:
+        """The same order on a table derived from this one."""
+        return Ordered(df, self.by, self.split)
+
+    def plain(self) -> DataFrame:
+        return self.df.drop("__order", "__block")
+
+
+def ordered(
     df: DataFrame,
     by: Sequence[str],
     order: Column,
     *,
     block_rows: int = BLOCK_ROWS,
     cuts: int = CUTS,
-) -> DataFrame:
-    """Add ``__order`` and ``__block``, the number of the value range a row falls in."""
-    keyed = df.withColumn("__order", order)
+    materialised: bool = False,
+) -> Ordered:
+    """Prepare running values of ``df`` in ascending ``order`` within ``by``."""
+    by = list(by)
+    keyed = (df if materialised else checkpointed(df)).withColumn("__order", order)
+    largest = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= block_rows:
+        return Ordered(keyed, tuple(by), False)
     identity = [*by, "__order"]
-    candidates = keyed.groupBy(*by, F.pmod(F.xxhash64(F.lit(1), *identity), F.lit(cuts)).alias("__class")).agg(
+    picks = keyed.groupBy(*by, F.pmod(F.xxhash64(F.lit(1), *identity), F.lit(cuts)).alias("__class")).agg(
         F.min(F.struct(F.xxhash64(*identity).alias("h"), F.col("__order").alias("o"))).alias("__pick"),
         F.count(F.lit(1)).alias("__rows"),
-        # Reads every column, so that this branch and the main one share one exchange.
-        F.bit_xor(F.xxhash64(*df.columns)).alias("__all"),
     )
-    summary = [
-        F.sum("__rows").alias("__rows"),
-        F.array_sort(F.collect_list("__pick.o")).alias("__cuts"),
-        F.max("__all").alias("__all"),
-    ]
-    large = (F.col("__rows") > block_rows) & F.col("__all").isNotNull()
+    # At most ``cuts`` values per group; groups that need no cut get no row.
+    chosen = [F.sum("__rows").alias("__rows"), F.array_sort(F.collect_list("__pick.o")).alias("__cuts")]
+    large = F.col("__rows") > block_rows
     if by:
-        found = candidates.groupBy(*by).agg(*summary).filter(large).select(*by, "__cuts")
-        keyed = join_groups(keyed, found, by)
+        keyed = join_groups(keyed, picks.groupBy(*by).agg(*chosen).filter(large).drop("__rows"), by)
     else:
-        found = candidates.agg(*summary).filter(large).select("__cuts")
-        keyed = keyed.withColumn("__cuts", found.scalar())
+        keyed = keyed.withColumn("__cuts", picks.agg(*chosen).select("__cuts").scalar())
     below = F.size(F.filter("__cuts", lambda cut: cut <= F.col("__order")))
-    return keyed.withColumn("__block", F.when(F.col("__cuts").isNotNull(), below)).drop("__cuts")
+    return Ordered(
+        keyed.withColumn("__block", F.coalesce(below, F.lit(0))).drop("__cuts"), tuple(by), True
+    )
 
 
 def running(
-    blocked: DataFrame, by: Sequence[str], measures: Mapping[str, tuple[str, Column]], *, descending: bool = False
-) -> DataFrame:
-    """Inclusive running values in ``__order``; rows that tie share the value.
+    rows: Ordered, measures: Mapping[str, tuple[str, Column]], *, descending: bool = False
+) -> Ordered:
+    """Add inclusive running values; rows that tie share the value.
 
     ``measures`` maps an output name to (``sum`` | ``max`` | ``min``, column).
     """
     direction = F.desc if descending else F.asc
-    local = Window.partitionBy(*by, "__block").orderBy(direction("__order"))
-    named = blocked.withColumns({f"__m_{name}": col for name, (_, col) in measures.items()})
-    totals = (
-        named.filter(F.col("__block").isNotNull())
-        .groupBy(*by, "__block")
-        .agg(*[_FOLD[fn](f"__m_{name}").alias(f"__t_{name}") for name, (fn, _) in measures.items()])
+    if not rows.split:
+        whole = Window.partitionBy(*rows.by).orderBy(direction("__order"))
+        return rows.having(
+            rows.df.withColumns({name: _FOLD[fn](col).over(whole) for name, (fn, col) in measures.items()})
+        )
+    block = [*rows.by, "__block"]
+    local = Window.partitionBy(*block).orderBy(direction("__order"))
+    totals = rows.df.groupBy(*block).agg(
+        *[_FOLD[fn](col).alias(f"__t_{name}") for name, (fn, col) in measures.items()]
     )
     # One row per block, at most CUTS + 1 for a group.
-    before = Window.partitionBy(*by).orderBy(direction("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*rows.by).orderBy(direction("__block")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
-        "__block",
-        *[_FOLD[fn](f"__t_{name}").over(before).alias(f"__b_{name}") for name, (fn, _) in measures.items()],
+        *block, *[_FOLD[fn](f"__t_{name}").over(before).alias(f"__b_{name}") for name, (fn, _) in measures.items()]
     )
-    inner = named.withColumns({name: _FOLD[fn](f"__m_{name}").over(local) for name, (fn, _) in measures.items()})
-    joined = join_groups(inner, offsets, [*by, "__block"])
-    return joined.withColumns(
+    inner = rows.df.withColumns({name: _FOLD[fn](col).over(local) for name, (fn, col) in measures.items()})
+    joined = join_groups(inner, offsets, block).withColumns(
         {name: _JOIN[fn](F.col(f"__b_{name}"), F.col(name)) for name, (fn, _) in measures.items()}
-    ).drop(*[f"__{tag}_{name}" for tag in "mb" for name in measures])
+    )
+    return rows.having(joined.drop(*[f"__b_{name}" for name in measures]))
 
 
 def accumulate(
@@ -97,18 +117,17 @@ def accumulate(
     measures: Mapping[str, tuple[str, Column]],
     *,
     block_rows: int = BLOCK_ROWS,
+    materialised: bool = False,
 ) -> DataFrame:
-    """:func:`running` over rows that carry no blocks yet."""
-    return running(with_blocks(df, by, order, block_rows=block_rows), by, measures).drop("__order", "__block")
+    """:func:`ordered` and one :func:`running`."""
+    return running(ordered(df, by, order, block_rows=block_rows, materialised=materialised), measures).plain()
 
 
 def with_position(
     df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn", *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Number the rows of a group from 1; ``order`` must identify a row within its group."""
-    return accumulate(
-        df, by, F.struct(*order), {name: ("sum", F.lit(1).cast("bigint"))}, block_rows=block_rows
-    )
+    return accumulate(df, by, F.struct(*order), {name: ("sum", F.lit(1).cast("bigint"))}, block_rows=block_rows)
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -133,18 +152,21 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
-    counts: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Interpolated (type 7) quantiles per group, from value counts instead of buffered rows.
+    """Interpolated (type 7) quantiles per group, from value counts instead of buffered rows."""
+    return quantiles_of_counts(checkpointed(value_counts(df, by, value)), by, value, probs, block_rows=block_rows)
 
-    ``counts`` may pass an existing :func:`value_counts` result.
-    """
-    hist = value_counts(df, by, value) if counts is None else counts
-    totals = hist.groupBy(*by).agg(F.sum("n").alias("__total"))
-    ranked = join_groups(
-        accumulate(hist, by, F.col(value), {"__upto": ("sum", F.col("n"))}, block_rows=block_rows), totals, by
+
+def quantiles_of_counts(
+    counts: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], *, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Quantiles from a materialised histogram ``by, value, n``."""
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    upto = accumulate(
+        counts, by, F.col(value), {"__upto": ("sum", F.col("n"))}, block_rows=block_rows, materialised=True
     )
+    ranked = join_groups(upto, totals, by)
     parts, outputs = [], []
     x = F.col(value).cast("double")
     for name, prob in probs.items():

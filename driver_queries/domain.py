@@ -1 +1,329 @@
-"""Domain operators on the driver tables."""
+"""Domain operators on the driver tables.
+
+Order lines stand in for expression values: the customer or order is the cell, the part name
+the gene, the nation the sample.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortframe.operators import enrich, markers, multiple, score, tidy
+
+from .registry import Tables, query, r
+
+# --- stand-ins --------------------------------------------------------------------------
+
+
+def customer_expr(t: Tables):
+    """(customer, part name) -> summed quantity: one row per cell and gene."""
+    return (
+        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("o_custkey").alias("cell_id"), F.col("p_name").alias("gene"))
+        .agg(F.sum("l_quantity").alias("logcount"))
+    )
+
+
+CUSTOMER_EXPR = """SELECT o_custkey AS cell_id, p_name AS gene, sum(l_quantity) AS logcount FROM lineitem
+                   JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
+
+
+def colour_signatures(t: Tables):
+    """Part names grouped by their first word."""
+    return t.part.select(F.substring_index("p_name", " ", 1).alias("signature"), F.col("p_name").alias("gene")).distinct()
+
+
+COLOUR_SIGNATURES = "SELECT DISTINCT split_part(p_name, ' ', 1) AS signature, p_name AS gene FROM part"
+
+
+def customer_cells(t: Tables):
+    return t.customer.select(
+        F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("nation")
+    )
+
+
+# --- p-values ---------------------------------------------------------------------------
+
+_P_TABLE = """SELECT o_orderpriority AS family, o_orderkey AS test,
+                     CASE WHEN o_orderstatus <> 'P' OR o_totalprice > 400000
+                          THEN round(pow(o_totalprice / 600000, 3), 4) END AS p FROM orders"""
+
+
+def _p_table(t: Tables):
+    kept = (F.col("o_orderstatus") != "P") | (F.col("o_totalprice") > 400000)
+    return t.orders.select(
+        F.col("o_orderpriority").alias("family"),
+        F.col("o_orderkey").alias("test"),
+        F.when(kept, F.round(F.pow(F.col("o_totalprice") / 600000, 3), 4)).alias("p"),
+    )
+
+
+@query(
+    "W5_holm",
+    f"""WITH t AS ({_P_TABLE}), k AS (SELECT *, count(p) OVER (PARTITION BY family) AS n,
+               row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, test) AS i FROM t)
+        SELECT family, test, CASE WHEN p IS NOT NULL THEN round(least(1.0, max((n - i + 1) * p)
+               OVER (PARTITION BY family ORDER BY p NULLS LAST, test ROWS UNBOUNDED PRECEDING)), 9) END AS adj_p_value,
+               'holm' AS method FROM k""",
+)
+def _(t: Tables):
+    adjusted = multiple.adjust_p(_p_table(t), "p", ["family"], "holm")
+    return adjusted.select("family", "test", r("adj_p_value", 9).alias("adj_p_value"), "method")
+
+
+@query(
+    "W5_benjamini_hochberg",
+    f"""WITH t AS ({_P_TABLE}), k AS (SELECT *, count(p) OVER (PARTITION BY family) AS n,
+               row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, test) AS i FROM t)
+        SELECT family, test, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(n * p / i)
+               OVER (PARTITION BY family ORDER BY p DESC NULLS FIRST, test DESC ROWS UNBOUNDED PRECEDING)), 9) END
+               AS adj_p_value, 'BH' AS method FROM k""",
+)
+def _(t: Tables):
+    adjusted = multiple.adjust_p(_p_table(t), "p", ["family"], "BH")
+    return adjusted.select("family", "test", r("adj_p_value", 9).alias("adj_p_value"), "method")
+
+
+# --- signature scores -------------------------------------------------------------------
+
+
+@query(
+    "D9_signature_mean_sum",
+    f"""WITH e AS ({CUSTOMER_EXPR}), s AS ({COLOUR_SIGNATURES}),
+             n AS (SELECT signature, count(*) AS n FROM s GROUP BY ALL),
+             v AS (SELECT cell_id, signature, sum(logcount) AS v FROM e JOIN s USING (gene) GROUP BY ALL)
+        SELECT c_custkey AS cell_id, n.signature, coalesce(v, 0) AS signature_sum,
+               round(coalesce(v, 0) / n, 9) AS signature_mean
+        FROM customer CROSS JOIN n LEFT JOIN v ON v.cell_id = c_custkey AND v.signature = n.signature""",
+)
+def _(t: Tables):
+    cells = t.customer.select(F.col("c_custkey").alias("cell_id"))
+    scored = score.signature_summary(cells, customer_expr(t), colour_signatures(t))
+    return scored.withColumn("signature_mean", r("signature_mean", 9))
+
+
+_RANK_SCORE = f"""
+    WITH e AS ({CUSTOMER_EXPR}), s AS ({COLOUR_SIGNATURES}),
+         n AS (SELECT signature, count(*) AS n FROM s GROUP BY ALL),
+         z AS (SELECT c_custkey AS cell_id, count(e.gene) AS nnz FROM customer LEFT JOIN e ON e.cell_id = c_custkey GROUP BY ALL),
+         r AS (SELECT cell_id, gene, rank() OVER (PARTITION BY cell_id ORDER BY logcount DESC)
+                      + (count(*) OVER (PARTITION BY cell_id, logcount) - 1) / 2.0 AS rk FROM e),
+         a AS (SELECT z.cell_id, s.signature, coalesce(rk, nnz + (64 - nnz + 1) / 2.0) AS rk
+               FROM z CROSS JOIN s LEFT JOIN r ON r.cell_id = z.cell_id AND r.gene = s.gene),
+         g AS (SELECT cell_id, signature, count(*) AS n, sum(CASE WHEN rk > 20 THEN 21.0 ELSE rk END) AS rs,
+                      count(*) FILTER (WHERE rk <= 20) AS inside FROM a GROUP BY ALL)
+    SELECT cell_id, signature, round(CASE WHEN inside = 0 THEN 0 ELSE
+           greatest(0, 1 - (rs - n * (n + 1) / 2.0) / ({{largest}})) END, 9) AS score FROM g"""
+
+
+def _rank_scores(t: Tables, normaliser: str = "trimmed"):
+    cells = t.customer.select(F.col("c_custkey").alias("cell_id"))
+    return score.rank_score(
+        cells, customer_expr(t), colour_signatures(t), 64, max_rank=20, normaliser=normaliser
+    )
+
+
+@query("S12_rank_score", _RANK_SCORE.format(largest="n * 20 - n * (n + 1) / 2.0"))
+def _(t: Tables):
+    return _rank_scores(t).withColumn("score", r("score", 9))
+
+
+@query("S12_rank_score_plain", _RANK_SCORE.format(largest="n * 20.0"))
+def _(t: Tables):
+    return _rank_scores(t, "plain").withColumn("score", r("score", 9))
+
+
+# --- marker tests -----------------------------------------------------------------------
+
+_MOMENTS = f"""e AS ({CUSTOMER_EXPR}),
+    z AS (SELECT c_mktsegment AS label, count(*) AS n FROM customer GROUP BY ALL),
+    d AS (SELECT gene, label, sum(logcount) AS s, sum(logcount * logcount) AS q FROM e
+          JOIN customer ON c_custkey = cell_id JOIN z ON label = c_mktsegment GROUP BY ALL),
+    m AS (SELECT gs.gene, z.label, n, coalesce(s, 0) / n AS mean,
+                 (coalesce(q, 0) - coalesce(s, 0) * coalesce(s, 0) / n) / (n - 1) AS variance
+          FROM (SELECT DISTINCT gene FROM e) gs CROSS JOIN z LEFT JOIN d ON d.gene = gs.gene AND d.label = z.label)"""
+
+
+@query(
+    "S1_marker_welch_t",
+    f"""WITH {_MOMENTS}
+        SELECT a.gene, a.label, b.label AS other, a.n, b.n AS n_other, round(a.mean - b.mean, 6) AS log_fc,
+               round((a.mean - b.mean) / sqrt(a.variance / a.n + b.variance / b.n), 6) AS t,
+               round(pow(a.variance / a.n + b.variance / b.n, 2) / (pow(a.variance / a.n, 2) / (a.n - 1)
+                     + pow(b.variance / b.n, 2) / (b.n - 1)), 4) AS df
+        FROM m a JOIN m b ON a.gene = b.gene AND a.label <> b.label""",
+)
+def _(t: Tables):
+    tested = markers.marker_ttest(customer_expr(t), customer_cells(t), "label", with_p=False)
+    return tested.withColumns({"log_fc": r("log_fc"), "t": r("t"), "df": r("df", 4)})
+
+
+@query("S1_marker_welch_p")
+def _(t: Tables):
+    return markers.marker_ttest(customer_expr(t), customer_cells(t), "label")
+
+
+@query("S1_S4_markers_combined")
+def _(t: Tables):
+    pairs = markers.marker_ttest(customer_expr(t), customer_cells(t), "label")
+    return markers.combine_markers(pairs, "label", "log_fc")
+
+
+@query(
+    "S4_combine_pairwise_tests",
+    """WITH p AS (SELECT l_suppkey AS gene, l_returnflag AS label, CAST(l_linenumber AS VARCHAR) AS other,
+                         round(avg(l_tax) * 10, 6) AS p_value, round(avg(l_quantity), 6) AS effect FROM lineitem GROUP BY ALL),
+            k AS (SELECT *, row_number() OVER (PARTITION BY label, other ORDER BY p_value, gene) AS rk,
+                         row_number() OVER (PARTITION BY label, gene ORDER BY p_value, other) AS i,
+                         count(*) OVER (PARTITION BY label, gene) AS m FROM p),
+            c AS (SELECT label, gene, min(rk) AS top, least(1.0, min(m * p_value / i)) AS p,
+                         max(effect) FILTER (WHERE i = 1) AS summary_effect FROM k GROUP BY ALL),
+            f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p, gene) AS j, count(*) OVER (PARTITION BY label) AS n
+                  FROM c)
+       SELECT label, gene, top, round(p, 9) AS p_value, summary_effect,
+              round(least(1.0, min(n * p / j) OVER (PARTITION BY label ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)), 9)
+              AS fdr FROM f""",
+)
+def _(t: Tables):
+    pairs = t.lineitem.groupBy(
+        F.col("l_suppkey").alias("gene"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").cast("string").alias("other")
+    ).agg(r(F.avg("l_tax") * 10).alias("p_value"), r(F.avg("l_quantity")).alias("effect"))
+    combined = markers.combine_markers(pairs, "label", "effect")
+    return combined.withColumns({"p_value": r("p_value", 9), "fdr": r("fdr", 9)})
+
+
+def _wilcox_sql(shift: float) -> str:
+    return f"""
+    WITH e AS ({CUSTOMER_EXPR}),
+         z AS (SELECT c_mktsegment AS label, count(*) AS n FROM customer GROUP BY ALL),
+         d AS (SELECT c_custkey AS cell_id, c_mktsegment AS label, gs.gene, coalesce(logcount, 0) AS x
+               FROM customer CROSS JOIN (SELECT DISTINCT gene FROM e) gs
+               LEFT JOIN e ON e.cell_id = c_custkey AND e.gene = gs.gene),
+         h AS (SELECT gene, label, x, count(*) AS n FROM d GROUP BY ALL),
+         p AS (SELECT h.gene, h.label, o.label AS other, h.x AS pos, h.n AS n, 0 AS m FROM h JOIN z o ON o.label <> h.label
+               UNION ALL SELECT h.gene, o.label, h.label, h.x + {shift}, 0, h.n FROM h JOIN z o ON o.label <> h.label),
+         g AS (SELECT gene, label, other, pos, sum(n) AS n, sum(m) AS m FROM p GROUP BY ALL),
+         c AS (SELECT *, sum(m) OVER (PARTITION BY gene, label, other ORDER BY pos) - m / 2.0 AS below FROM g),
+         u AS (SELECT gene, label, other, sum(n) AS n, sum(m) AS n_other, sum(n * below) AS u,
+                      sum(pow(n + m, 3) - (n + m)) AS ties FROM c GROUP BY ALL)
+    SELECT gene, label, other, CAST(n AS BIGINT) AS n, CAST(n_other AS BIGINT) AS n_other, CAST(u AS DOUBLE) AS u,
+           round(u / (n * n_other), 9) AS auc,
+           round((u - n * n_other / 2.0 - 0.5) / sqrt(n * n_other / 12.0 * (n + n_other + 1
+                 - ties / ((n + n_other) * (n + n_other - 1.0)))), 6) AS z FROM u"""
+
+
+@query("S2_marker_wilcoxon", _wilcox_sql(0.0))
+def _(t: Tables):
+    tested = markers.marker_wilcox(customer_expr(t), customer_cells(t), "label", with_p=False)
+    return tested.drop("tie_sum").withColumns({"auc": r("auc", 9), "z": r("z")})
+
+
+@query("S2_marker_wilcoxon_lfc", _wilcox_sql(5.0))
+def _(t: Tables):
+    tested = markers.marker_wilcox(customer_expr(t), customer_cells(t), "label", lfc=5.0, with_p=False)
+    return tested.drop("tie_sum").withColumns({"auc": r("auc", 9), "z": r("z")})
+
+
+@query("S2_S4_T3_top_markers")
+def _(t: Tables):
+    pairs = markers.marker_wilcox(customer_expr(t), customer_cells(t), "label", lfc=1.0)
+    combined = markers.combine_markers(pairs, "label", "auc")
+    return tidy.significant(combined, "fdr", 1.01)
+
+
+def _sample_means(t: Tables):
+    """Mean value per user in each event type: feature = day of month."""
+    return t.events.groupBy(
+        F.dayofmonth("ts").alias("feature"), F.col("user_id").alias("sample_name"), F.col("event_type").alias("sample_type")
+    ).agg(r(F.avg("value"), 6).alias("score"))
+
+
+_PAIRWISE = """
+    WITH s AS (SELECT dayofmonth(ts) AS feature, user_id, event_type AS g, round(avg(value), 6) AS x FROM events GROUP BY ALL),
+         k AS (SELECT feature, g FROM s GROUP BY ALL HAVING count(*) >= 2),
+         d AS (SELECT s.* FROM s JOIN k USING (feature, g)),
+         pr AS (SELECT a.feature, a.g AS g1, b.g AS g2 FROM k a JOIN k b ON a.feature = b.feature AND a.g < b.g),
+         v AS (SELECT pr.feature, g1, g2, g = g1 AS is1, x FROM pr JOIN d ON d.feature = pr.feature AND d.g IN (g1, g2)),
+         w AS (SELECT *, rank() OVER (PARTITION BY feature, g1, g2 ORDER BY x)
+                      + (count(*) OVER (PARTITION BY feature, g1, g2, x) - 1) / 2.0 AS rk,
+                      count(*) OVER (PARTITION BY feature, g1, g2, x) AS t FROM v),
+         u AS (SELECT feature, g1, g2, count(*) FILTER (WHERE is1) AS n1, count(*) FILTER (WHERE NOT is1) AS n2,
+                      sum(rk) FILTER (WHERE is1) AS rs, sum(t * t - 1) AS ties FROM w GROUP BY ALL)
+    SELECT feature, g1 AS group_1, g2 AS group_2, n1 AS n_1, n2 AS n_2, rs - n1 * (n1 + 1) / 2.0 AS u,
+           CAST(ties AS DOUBLE) AS tie_sum,
+           round((rs - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0 - 0.5 * sign(rs - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0))
+                 / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z FROM u"""
+
+
+@query("S3_C8_pairwise_rank_sums", _PAIRWISE)
+def _(t: Tables):
+    tested = markers.pairwise_ranksum(_sample_means(t), "score", "sample_type", ["feature"], with_p=False)
+    return tested.withColumn("z", r("z"))
+
+
+@query("S3_W5_pairwise_tests_holm")
+def _(t: Tables):
+    return markers.pairwise_ranksum(_sample_means(t), "score", "sample_type", ["feature"])
+
+
+@query("S3_F3_cohorts_in_one_query")
+def _(t: Tables):
+    """All samples, and those with and without an outcome, as families of one call."""
+    outcome = F.when(F.col("sample_name") % 2 == 0, F.lit("yes")).otherwise(F.lit("no"))
+    labelled = _sample_means(t).withColumn("cohort", F.explode(F.array(F.lit("all"), outcome)))
+    return markers.pairwise_ranksum(labelled, "score", "sample_type", ["cohort", "feature"])
+
+
+# --- enrichment -------------------------------------------------------------------------
+
+
+def _annotations(t: Tables):
+    return t.documents.select(F.col("source").alias("term"), F.col("doc_id").alias("gene"))
+
+
+def _hits(t: Tables):
+    flagged = t.labels.filter((F.col("quality") == 0) | (F.col("toxic") == 1))
+    return flagged.join(t.documents, "doc_id").select("lang", F.col("doc_id").alias("gene"))
+
+
+_ENRICH = """
+    WITH h AS (SELECT DISTINCT lang, doc_id FROM labels JOIN documents USING (doc_id) WHERE quality = 0 OR toxic = 1),
+         nn AS (SELECT lang, count(*) AS n FROM h GROUP BY ALL),
+         kk AS (SELECT source AS term, count(DISTINCT doc_id) AS bigk FROM documents GROUP BY ALL
+                HAVING count(DISTINCT doc_id) BETWEEN 10 AND 5000),
+         k AS (SELECT h.lang, source AS term, count(*) AS k FROM h JOIN documents USING (doc_id) GROUP BY ALL)
+    SELECT k.lang, k.term, k.k, nn.n, kk.bigk AS "K", (SELECT count(DISTINCT doc_id) FROM documents) AS "N"
+    FROM k JOIN nn USING (lang) JOIN kk USING (term)"""
+
+
+@query(
+    "S11_enrichment",
+    f"""WITH c AS ({_ENRICH}),
+             i AS (SELECT c.*, unnest(generate_series(k, least(n, "K"))) AS i FROM c),
+             l AS (SELECT lang, term, k, n, "K", "N", sum(exp(lgamma("K" + 1) - lgamma(i + 1) - lgamma("K" - i + 1)
+                   + lgamma("N" - "K" + 1) - lgamma(n - i + 1) - lgamma("N" - "K" - n + i + 1)
+                   - lgamma("N" + 1) + lgamma(n + 1) + lgamma("N" - n + 1))) AS p FROM i GROUP BY ALL),
+             j AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p, term) AS j,
+                          count(*) OVER (PARTITION BY lang) AS m,
+                          least(1.0, count(*) FILTER (WHERE p >= 0.05) OVER (PARTITION BY lang)
+                                     / (0.95 * count(*) OVER (PARTITION BY lang))) AS pi0 FROM l),
+             b AS (SELECT *, min(m * p / j) OVER (PARTITION BY lang ORDER BY p DESC, term DESC ROWS UNBOUNDED PRECEDING)
+                   AS bh FROM j)
+        SELECT lang, term, k || '/' || n AS gene_ratio, "K" || '/' || "N" AS bg_ratio, round(p, 9) AS p_value,
+               round(least(1.0, bh), 9) AS adj_p_value, round(pi0 * least(1.0, bh), 9) AS q_value FROM b""",
+)
+def _(t: Tables):
+    result = enrich.enrich(
+        _hits(t), _annotations(t), ["lang"], min_size=10, max_size=5000, p_cutoff=None, q_cutoff=None
+    )
+    shown = result.select("lang", "term", "gene_ratio", "bg_ratio", "p_value", "adj_p_value", "q_value")
+    return shown.withColumns({c: r(c, 9) for c in ("p_value", "adj_p_value", "q_value")})
+
+
+@query("S11_C10_readable_enrichment")
+def _(t: Tables):
+    symbols = t.documents.select(F.col("doc_id").alias("gene"), F.concat(F.lit("doc"), "doc_id").alias("symbol"))
+    return enrich.enrich(
+        _hits(t), _annotations(t), ["lang"], symbols=symbols, max_size=5000, p_cutoff=None, q_cutoff=None
+    )
