@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import hypergeometric_upper
+from ..session import checkpointed
 from .joins import terms_with_symbols
 from .keyed import join_groups
 from .multiple import adjust_p
@@ -76,14 +77,20 @@ def enrich(
     counts = term_counts(
         hits, term_genes, by, universe=universe, term=term, gene=gene, min_size=min_size, max_size=max_size
     )
-    tested = counts.withColumn("p_value", hypergeometric_upper("n_hits", "n_universe", "term_size", "n_listed")).withColumns(
+    # One row per tested term; kept, since the tails come from Python and are read three times.
+    tested = checkpointed(
+        counts.withColumn("p_value", hypergeometric_upper("n_hits", "n_universe", "term_size", "n_listed"))
+    ).withColumns(
         {
             "gene_ratio": F.concat_ws("/", "n_hits", "n_listed"),
             "bg_ratio": F.concat_ws("/", "term_size", "n_universe"),
         }
     )
     adjusted = adjust_p(tested, "p_value", by, method)
-    with_bh = adjust_p(adjusted, "p_value", by, "BH", adjusted="__bh", method_name=None)
+    if method == "BH":
+        with_bh = adjusted.withColumn("__bh", F.col("adj_p_value"))
+    else:
+        with_bh = adjust_p(adjusted, "p_value", by, "BH", adjusted="__bh", method_name=None)
     nulls = F.least(
         F.lit(1.0), F.count_if(F.col("p_value") >= STOREY_LAMBDA) / (F.count(F.lit(1)) * F.lit(1.0 - STOREY_LAMBDA))
     ).alias("__pi0")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortframe.operators import enrich, markers, multiple, score, tidy
+from cohortframe.operators import enrich, markers, multiple, pseudobulk, score, tidy
 
 from .registry import Tables, query, r
 
@@ -293,24 +293,24 @@ _ENRICH = """
          kk AS (SELECT source AS term, count(DISTINCT doc_id) AS bigk FROM documents GROUP BY ALL
                 HAVING count(DISTINCT doc_id) BETWEEN 10 AND 5000),
          k AS (SELECT h.lang, source AS term, count(*) AS k FROM h JOIN documents USING (doc_id) GROUP BY ALL)
-    SELECT k.lang, k.term, k.k, nn.n, kk.bigk AS "K", (SELECT count(DISTINCT doc_id) FROM documents) AS "N"
+    SELECT k.lang, k.term, k.k, nn.n, kk.bigk, (SELECT count(DISTINCT doc_id) FROM documents) AS bign
     FROM k JOIN nn USING (lang) JOIN kk USING (term)"""
 
 
 @query(
     "S11_enrichment",
     f"""WITH c AS ({_ENRICH}),
-             i AS (SELECT c.*, unnest(generate_series(k, least(n, "K"))) AS i FROM c),
-             l AS (SELECT lang, term, k, n, "K", "N", sum(exp(lgamma("K" + 1) - lgamma(i + 1) - lgamma("K" - i + 1)
-                   + lgamma("N" - "K" + 1) - lgamma(n - i + 1) - lgamma("N" - "K" - n + i + 1)
-                   - lgamma("N" + 1) + lgamma(n + 1) + lgamma("N" - n + 1))) AS p FROM i GROUP BY ALL),
+             i AS (SELECT c.*, unnest(generate_series(k, least(n, bigk))) AS i FROM c),
+             l AS (SELECT lang, term, k, n, bigk, bign, sum(exp(lgamma(bigk + 1) - lgamma(i + 1) - lgamma(bigk - i + 1)
+                   + lgamma(bign - bigk + 1) - lgamma(n - i + 1) - lgamma(bign - bigk - n + i + 1)
+                   - lgamma(bign + 1) + lgamma(n + 1) + lgamma(bign - n + 1))) AS p FROM i GROUP BY ALL),
              j AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p, term) AS j,
                           count(*) OVER (PARTITION BY lang) AS m,
                           least(1.0, count(*) FILTER (WHERE p >= 0.05) OVER (PARTITION BY lang)
                                      / (0.95 * count(*) OVER (PARTITION BY lang))) AS pi0 FROM l),
              b AS (SELECT *, min(m * p / j) OVER (PARTITION BY lang ORDER BY p DESC, term DESC ROWS UNBOUNDED PRECEDING)
                    AS bh FROM j)
-        SELECT lang, term, k || '/' || n AS gene_ratio, "K" || '/' || "N" AS bg_ratio, round(p, 9) AS p_value,
+        SELECT lang, term, k || '/' || n AS gene_ratio, bigk || '/' || bign AS bg_ratio, round(p, 9) AS p_value,
                round(least(1.0, bh), 9) AS adj_p_value, round(pi0 * least(1.0, bh), 9) AS q_value FROM b""",
 )
 def _(t: Tables):
@@ -327,3 +327,133 @@ def _(t: Tables):
     return enrich.enrich(
         _hits(t), _annotations(t), ["lang"], symbols=symbols, max_size=5000, p_cutoff=None, q_cutoff=None
     )
+
+
+# --- pseudobulk -------------------------------------------------------------------------
+
+
+def order_expr(t: Tables):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("cell_id"),
+        F.col("p_name").alias("gene"),
+        F.col("l_quantity").cast("bigint").alias("count"),
+    )
+
+
+def order_cells(t: Tables):
+    return (
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(F.col("o_orderkey").alias("cell_id"), F.col("n_name").alias("sample"), "o_orderstatus", "n_regionkey")
+    )
+
+
+def nation_bulk(t: Tables):
+    return pseudobulk.pseudobulk(order_expr(t), order_cells(t), ["sample"])
+
+
+NATION_BULK = """SELECT n_name AS sample, p_name AS gene, CAST(sum(l_quantity) AS DOUBLE) AS count FROM lineitem
+                 JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+                 JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
+
+
+def nation_samples(t: Tables):
+    return t.nation.select(F.col("n_name").alias("sample"), F.col("n_regionkey").cast("string").alias("group"))
+
+
+@query(
+    "D8_pseudobulk",
+    """WITH z AS (SELECT n_name AS sample, o_orderstatus, count(*) AS n_cells FROM orders
+                  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+       SELECT n_name AS sample, o_orderstatus, p_name AS gene, CAST(sum(l_quantity) AS BIGINT) AS count, any_value(n_cells) AS n_cells
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+       JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
+       JOIN z USING (o_orderstatus) WHERE z.sample = n_name GROUP BY ALL""",
+)
+def _(t: Tables):
+    return pseudobulk.pseudobulk(order_expr(t), order_cells(t), ["sample", "o_orderstatus"])
+
+
+_LIBS = f"b AS ({NATION_BULK}), l AS (SELECT sample, sum(count) AS lib_size FROM b GROUP BY ALL)"
+
+
+@query(
+    "S5_expression_filter",
+    f"""WITH {_LIBS}, c AS (SELECT 5e3 * 1e6 / median(lib_size) AS cut FROM l),
+             m AS (SELECT min(n) AS need FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL)),
+             k AS (SELECT gene FROM b JOIN l USING (sample), c, m GROUP BY gene, need
+                   HAVING count(*) FILTER (WHERE count / lib_size * 1e6 >= cut) >= need AND sum(count) >= 15)
+        SELECT sample, gene, CAST(count AS BIGINT) AS count FROM b WHERE gene IN (SELECT gene FROM k)""",
+)
+def _(t: Tables):
+    kept = pseudobulk.filter_by_expr(nation_bulk(t), nation_samples(t), "group", min_count=5e3)
+    return kept.select("sample", "gene", "count")
+
+
+_TMM = f"""{_LIBS}, g AS (SELECT DISTINCT gene FROM b),
+    q AS (SELECT l.sample, lib_size, quantile_cont(coalesce(count, 0), 0.75) / lib_size AS f FROM l CROSS JOIN g
+          LEFT JOIN b ON b.sample = l.sample AND b.gene = g.gene GROUP BY l.sample, lib_size),
+    r AS (SELECT sample AS ref FROM q ORDER BY abs(f - (SELECT avg(f) FROM q)), sample LIMIT 1),
+    x AS (SELECT b.sample, b.count AS y, l.lib_size AS n, b0.count AS y0, l0.lib_size AS n0
+          FROM b JOIN l USING (sample) JOIN b b0 ON b0.gene = b.gene AND b0.sample = (SELECT ref FROM r)
+          JOIN l l0 ON l0.sample = b0.sample WHERE b.count > 0 AND b0.count > 0),
+    m AS (SELECT sample, log2((y / n) / (y0 / n0)) AS m, (log2(y / n) + log2(y0 / n0)) / 2 AS a,
+                 (n - y) / n / y + (n0 - y0) / n0 / y0 AS v FROM x),
+    k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS k,
+                 rank() OVER (PARTITION BY sample ORDER BY m) + (count(*) OVER (PARTITION BY sample, m) - 1) / 2 AS rm,
+                 rank() OVER (PARTITION BY sample ORDER BY a) + (count(*) OVER (PARTITION BY sample, a) - 1) / 2 AS ra FROM m),
+    t AS (SELECT sample, sum(m / v) FILTER (WHERE rm BETWEEN floor(k * 0.3) + 1 AND k - floor(k * 0.3)
+                         AND ra BETWEEN floor(k * 0.05) + 1 AND k - floor(k * 0.05))
+                 / sum(1 / v) FILTER (WHERE rm BETWEEN floor(k * 0.3) + 1 AND k - floor(k * 0.3)
+                         AND ra BETWEEN floor(k * 0.05) + 1 AND k - floor(k * 0.05)) AS f, max(abs(m)) AS top FROM k GROUP BY ALL),
+    w AS (SELECT sample, CASE WHEN top < 1e-6 THEN 1 ELSE pow(2, f) END AS raw FROM t),
+    tmm AS (SELECT sample, lib_size, raw / (SELECT exp(avg(ln(raw))) FROM w) AS norm_factor FROM w JOIN l USING (sample))"""
+
+
+@query("S6_tmm_factors", f"WITH {_TMM} SELECT sample, lib_size, round(norm_factor, 6) AS norm_factor FROM tmm")
+def _(t: Tables):
+    return pseudobulk.tmm_factors(nation_bulk(t)).withColumn("norm_factor", r("norm_factor"))
+
+
+@query(
+    "S7_log_cpm",
+    f"""WITH {_TMM}, e AS (SELECT sample, lib_size * norm_factor AS lib FROM tmm),
+             p AS (SELECT sample, lib, 2 * lib / (SELECT avg(lib) FROM e) AS prior FROM e)
+        SELECT p.sample, g.gene, round(log2((coalesce(count, 0) + prior) / (lib + 2 * prior) * 1e6), 6) AS log_cpm
+        FROM p CROSS JOIN g LEFT JOIN b ON b.sample = p.sample AND b.gene = g.gene""",
+)
+def _(t: Tables):
+    bulk = nation_bulk(t)
+    return pseudobulk.log_cpm(bulk, pseudobulk.tmm_factors(bulk)).withColumn("log_cpm", r("log_cpm"))
+
+
+@query(
+    "T4_top_variable",
+    f"""WITH e AS ({CUSTOMER_EXPR}), n AS (SELECT count(*) AS n FROM customer),
+             v AS (SELECT gene, sum(logcount) / n AS mean, (sum(logcount * logcount) - sum(logcount) * sum(logcount) / n) / (n - 1)
+                   AS variance FROM e, n GROUP BY gene, n)
+        SELECT gene, round(mean, 6) AS mean, round(variance, 6) AS variance FROM v ORDER BY v.variance DESC, gene LIMIT 20""",
+)
+def _(t: Tables):
+    top = pseudobulk.top_variable(customer_expr(t), customer_cells(t), 20)
+    return top.withColumns({"mean": r("mean"), "variance": r("variance")})
+
+
+@query(
+    "T4_variance_residuals",
+    """WITH e AS (SELECT l_partkey AS gene, l_orderkey AS cell, sum(l_quantity) AS x FROM lineitem GROUP BY ALL),
+            n AS (SELECT count(*) AS n FROM orders),
+            v AS (SELECT gene, sum(x) / n AS mean, (sum(x * x) - sum(x) * sum(x) / n) / (n - 1) AS variance FROM e, n GROUP BY gene, n),
+            l AS (SELECT *, ln(mean) AS lx, ln(variance) AS ly FROM v),
+            w AS (SELECT min(lx) AS lo, (max(lx) - min(lx)) / 20 AS w FROM l),
+            b AS (SELECT l.*, CAST(least(floor((lx - lo) / w), 19) AS BIGINT) AS bin FROM l, w)
+       SELECT gene, round(mean, 8) AS mean, round(variance, 8) AS variance, bin,
+              round(ly - avg(ly) OVER (PARTITION BY bin), 6) AS residual FROM b""",
+)
+def _(t: Tables):
+    expr = t.lineitem.groupBy(F.col("l_partkey").alias("gene"), F.col("l_orderkey").alias("cell_id")).agg(
+        F.sum("l_quantity").alias("logcount")
+    )
+    n = t.orders.agg(F.count(F.lit(1)).alias("n")).scalar()
+    residuals = pseudobulk.variance_residuals(pseudobulk.gene_variances(expr, n))
+    return residuals.withColumns({"mean": r("mean", 8), "variance": r("variance", 8), "residual": r("residual")})
