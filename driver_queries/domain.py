@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortframe.operators import enrich, markers, multiple, pseudobulk, score, tidy
+from cohortframe.operators import embed, enrich, graph, markers, multiple, neighbours, pseudobulk, score, tidy
 
 from .registry import Tables, query, r
 
@@ -457,3 +457,227 @@ def _(t: Tables):
     n = t.orders.agg(F.count(F.lit(1)).alias("n")).scalar()
     residuals = pseudobulk.variance_residuals(pseudobulk.gene_variances(expr, n))
     return residuals.withColumns({"mean": r("mean", 8), "variance": r("variance", 8), "residual": r("residual")})
+
+
+# --- embeddings and neighbours ----------------------------------------------------------
+
+
+def reference_vectors(t: Tables):
+    return t.embeddings.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("ref_id"), "embedding", "label")
+
+
+def query_vectors(t: Tables):
+    return t.embeddings.filter("vec_id % 2 = 0").select(
+        F.col("vec_id").alias("cell_id"), "embedding", (F.col("vec_id") % 7).alias("individual")
+    )
+
+
+_KNN = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT q.vec_id AS cell_id, r.vec_id AS ref_id, r.label, list_distance(q.v, r.v) AS dist
+          FROM e q JOIN e r ON q.vec_id % 2 = 0 AND r.vec_id % 2 = 1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist, ref_id <= cell_id, ref_id) AS rk FROM d
+          QUALIFY rk <= 10)"""
+
+
+@query(
+    "S18_nearest_neighbours",
+    f"WITH {_KNN} SELECT cell_id, ref_id, CAST(rk AS INTEGER) AS rank, round(dist, 6) AS distance FROM k",
+)
+def _(t: Tables):
+    return neighbours.nearest(query_vectors(t), reference_vectors(t), 10).withColumn("distance", r("distance"))
+
+
+_LABELS = f"""{_KNN}, v AS (SELECT cell_id, label, count(*) AS votes, avg(dist) AS mean FROM k GROUP BY ALL),
+    b AS (SELECT cell_id, label AS initial_label, round(votes / 10.0, 6) AS proba FROM v
+          QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY votes DESC, mean, label) = 1)"""
+
+
+@query("S18_label_transfer", f"WITH {_LABELS} SELECT * FROM b")
+def _(t: Tables):
+    labels = neighbours.knn_label_transfer(query_vectors(t), reference_vectors(t), 10)
+    return labels.withColumn("proba", r("proba"))
+
+
+_ERRORS = """c AS (SELECT label, list(m ORDER BY p) AS v FROM (
+              SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x,
+              unnest(generate_series(1, len(embedding))) AS p FROM embeddings WHERE vec_id % 2 = 1) GROUP BY ALL) GROUP BY label),
+    n AS (SELECT vec_id AS cell_id, vec_id % 7 AS individual, c.label AS nearest_centroid,
+                 list_distance(CAST(embedding AS DOUBLE[]), c.v) AS error FROM embeddings, c WHERE vec_id % 2 = 0
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY error, c.label) = 1),
+    m AS (SELECT individual, median(error) AS med FROM n GROUP BY ALL),
+    q AS (SELECT n.individual, med, 1.4826 * median(abs(error - med)) AS mad FROM n JOIN m USING (individual) GROUP BY ALL),
+    f AS (SELECT cell_id, individual, nearest_centroid, error, CASE WHEN error > med + 1.5 * mad THEN 'Fail' ELSE 'Pass' END AS qc
+          FROM n JOIN q USING (individual))"""
+
+
+@query(
+    "S17_mapping_error",
+    f"WITH {_ERRORS} SELECT cell_id, individual, nearest_centroid, round(error, 6) AS error, qc FROM f",
+)
+def _(t: Tables):
+    errors = neighbours.mapping_error(query_vectors(t), reference_vectors(t), ["individual"], threshold=1.5)
+    return errors.select("cell_id", "individual", "nearest_centroid", r("error").alias("error"), "qc")
+
+
+@query(
+    "S17_S18_final_labels",
+    f"""WITH {_LABELS}, {_ERRORS}
+        SELECT cell_id, initial_label, proba, CASE WHEN qc = 'Pass' THEN initial_label END AS final_label,
+               CASE WHEN qc = 'Pass' THEN proba END AS final_proba FROM b JOIN f USING (cell_id)""",
+)
+def _(t: Tables):
+    errors = neighbours.mapping_error(query_vectors(t), reference_vectors(t), ["individual"], threshold=1.5)
+    labels = neighbours.knn_label_transfer(query_vectors(t), reference_vectors(t), 10)
+    final = neighbours.with_quality(labels, errors).drop("qc")
+    return final.withColumns({"proba": r("proba"), "final_proba": r("final_proba")})
+
+
+@query("S14_cell_pca")
+def _(t: Tables):
+    scores, _ = embed.cell_pca(t.embeddings, 20, cell="vec_id")
+    return scores.select("vec_id", *[F.get("pca", F.lit(i)).alias(f"PC{i + 1}") for i in range(20)])
+
+
+@query("S14_T4_variable_gene_pca")
+def _(t: Tables):
+    genes = [row[0] for row in pseudobulk.top_variable(customer_expr(t), customer_cells(t), 30).collect()]
+    vectors = embed.cell_vectors(t.customer.select(F.col("c_custkey").alias("cell_id")), customer_expr(t), genes)
+    return embed.cell_pca(vectors, 5)[1]
+
+
+_LOADINGS = """SELECT p_name AS gene, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, avg(l_discount) AS w1,
+                      avg(l_tax) AS w2, avg(l_extendedprice) / 100000 AS w3 FROM lineitem JOIN part ON l_partkey = p_partkey
+               GROUP BY ALL"""
+
+
+def part_loadings(t: Tables):
+    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    weights = F.array(F.avg("l_discount"), F.avg("l_tax"), F.avg("l_extendedprice") / 100000)
+    return joined.groupBy(F.col("p_name").alias("gene")).agg(
+        F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("sd"), weights.alias("weights")
+    )
+
+
+_PROJECTED = f"""e AS ({CUSTOMER_EXPR}), w AS ({_LOADINGS}),
+    p AS (SELECT c_custkey AS cell_id, c_nationkey AS nation, sum((coalesce(logcount, 0) - mean) / sd * w1) AS c1,
+                 sum((coalesce(logcount, 0) - mean) / sd * w2) AS c2, sum((coalesce(logcount, 0) - mean) / sd * w3) AS c3
+          FROM customer CROSS JOIN w LEFT JOIN e ON e.cell_id = c_custkey AND e.gene = w.gene GROUP BY ALL)"""
+
+
+@query(
+    "S16_project_on_reference",
+    f"WITH {_PROJECTED} SELECT cell_id, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3 FROM p",
+)
+def _(t: Tables):
+    placed = embed.project(customer_expr(t), customer_cells(t), part_loadings(t), 3)
+    return placed.select("cell_id", *[r(F.get("embedding", F.lit(i))).alias(f"c{i + 1}") for i in range(3)])
+
+
+@query(
+    "S16_align_donors",
+    f"""WITH {_PROJECTED} SELECT cell_id, round(c1 + (SELECT avg(c1) FROM p) - avg(c1) OVER (PARTITION BY nation), 6) AS c1,
+               round(c2 + (SELECT avg(c2) FROM p) - avg(c2) OVER (PARTITION BY nation), 6) AS c2,
+               round(c3 + (SELECT avg(c3) FROM p) - avg(c3) OVER (PARTITION BY nation), 6) AS c3 FROM p""",
+)
+def _(t: Tables):
+    placed = embed.project(customer_expr(t), customer_cells(t), part_loadings(t), 3)
+    moved = embed.align_donors(placed, "nation")
+    return moved.select("cell_id", *[r(F.get("embedding", F.lit(i))).alias(f"c{i + 1}") for i in range(3)])
+
+
+def nation_profiles(t: Tables):
+    """Mean quantity per nation and part name."""
+    return (
+        t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("n_name").alias("sample"), F.col("p_name").alias("gene"))
+        .agg(F.avg("l_quantity").alias("mean"))
+    )
+
+
+_PROFILES = """p AS (SELECT n_name AS sample, p_name AS gene, avg(l_quantity) AS mean FROM lineitem
+    JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"""
+
+
+@query(
+    "S21_profile_distances",
+    f"""WITH {_PROFILES}, i AS (SELECT DISTINCT sample FROM p), g AS (SELECT DISTINCT gene FROM p),
+             f AS (SELECT i.sample, g.gene, coalesce(mean, 0) AS mean FROM i CROSS JOIN g LEFT JOIN p USING (sample, gene))
+        SELECT a.sample AS id_1, b.sample AS id_2, round(sqrt(sum(pow(a.mean - b.mean, 2))), 6) AS distance
+        FROM f a JOIN f b ON a.gene = b.gene AND a.sample < b.sample GROUP BY ALL""",
+)
+def _(t: Tables):
+    return embed.profile_distances(nation_profiles(t), "sample", "gene", "mean").withColumn("distance", r("distance"))
+
+
+@query(
+    "S15_sample_gram",
+    f"""WITH {_PROFILES}, z AS (SELECT sample, gene, (mean - avg(mean) OVER (PARTITION BY gene))
+                                / nullif(stddev_samp(mean) OVER (PARTITION BY gene), 0) AS x FROM p)
+        SELECT a.sample AS id_1, b.sample AS id_2, round(sum(a.x * b.x), 6) AS product FROM z a JOIN z b
+        ON a.gene = b.gene AND a.sample <= b.sample WHERE a.x IS NOT NULL GROUP BY ALL""",
+)
+def _(t: Tables):
+    return embed.sample_gram(nation_profiles(t), value="mean").withColumn("product", r("product"))
+
+
+@query("S15_sample_pca")
+def _(t: Tables):
+    bulk = nation_bulk(t)
+    return embed.sample_pca(pseudobulk.log_cpm(bulk, pseudobulk.tmm_factors(bulk)))
+
+
+_SNN = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT q.vec_id AS a, o.vec_id AS via, list_distance(q.v, o.v) AS dist FROM e q JOIN e o ON q.vec_id <> o.vec_id),
+    k AS (SELECT a, via, row_number() OVER (PARTITION BY a ORDER BY dist, via <= a, via) AS rk FROM d QUALIFY rk <= 10),
+    l AS (SELECT * FROM k UNION ALL SELECT vec_id, vec_id, 0 FROM e)"""
+
+
+@query(
+    "S19_shared_neighbour_graph",
+    f"""WITH {_SNN} SELECT x.a AS src, y.a AS dst, greatest(10 - min(x.rk + y.rk) / 2.0, 1e-6) AS weight
+        FROM l x JOIN l y ON x.via = y.via AND x.a < y.a GROUP BY ALL""",
+)
+def _(t: Tables):
+    return graph.snn_graph(t.embeddings.select("vec_id", "embedding"), 10, node="vec_id")
+
+
+@query(
+    "S19_jaccard_graph",
+    f"""WITH {_SNN} SELECT x.a AS src, y.a AS dst, round(count(*) / (22.0 - count(*)), 9) AS weight
+        FROM l x JOIN l y ON x.via = y.via AND x.a < y.a GROUP BY ALL""",
+)
+def _(t: Tables):
+    edges = graph.snn_graph(t.embeddings.select("vec_id", "embedding"), 10, node="vec_id", weighting="jaccard")
+    return edges.withColumn("weight", r("weight", 9))
+
+
+def embedding_communities(t: Tables):
+    edges = graph.snn_graph(t.embeddings.select("vec_id", "embedding"), 10, node="vec_id")
+    return graph.communities(edges)
+
+
+@query("S20_communities")
+def _(t: Tables):
+    return embedding_communities(t)
+
+
+@query(
+    "S20_modularity",
+    """WITH e AS (SELECT o_custkey % 150 AS src, (o_orderkey * 7) % 150 AS dst, o_totalprice / 1000 AS weight FROM orders),
+            n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), p AS (SELECT node, node % 6 AS c FROM n),
+            m AS (SELECT a.c AS ca, b.c AS cb, weight FROM e JOIN p a ON e.src = a.node JOIN p b ON e.dst = b.node),
+            d AS (SELECT c, sum(weight) AS d FROM (SELECT ca AS c, weight FROM m UNION ALL SELECT cb, weight FROM m) GROUP BY ALL)
+       SELECT round(sum(weight) FILTER (WHERE ca = cb) / sum(weight)
+              - (SELECT sum(d * d) FROM d) / (4 * sum(weight) * sum(weight)), 9) AS modularity FROM m""",
+)
+def _(t: Tables):
+    edges = t.orders.select(
+        (F.col("o_custkey") % 150).alias("src"),
+        ((F.col("o_orderkey") * 7) % 150).alias("dst"),
+        (F.col("o_totalprice") / 1000).alias("weight"),
+    )
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    parts = nodes.withColumn("community", F.col("node") % 6)
+    return graph.modularity(edges, parts).withColumn("modularity", r("modularity", 9))
