@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import hypergeometric_upper
-from ..session import checkpointed
+from ..session import materialised
 from .joins import terms_with_symbols
 from .keyed import join_groups
 from .multiple import adjust_p
@@ -78,7 +78,7 @@ def enrich(
         hits, term_genes, by, universe=universe, term=term, gene=gene, min_size=min_size, max_size=max_size
     )
     # One row per tested term; kept, since the tails come from Python and are read three times.
-    tested = checkpointed(
+    tested = materialised(
         counts.withColumn("p_value", hypergeometric_upper("n_hits", "n_universe", "term_size", "n_listed"))
     ).withColumns(
         {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_upper, rank_sum_exact, t_upper
-from ..session import checkpointed
+from ..session import materialised
 from .keyed import join_groups
 from .multiple import adjust_p
 from .scan import BLOCK_ROWS, accumulate, with_position
@@ -136,7 +136,7 @@ def rank_sums(
     """
     keys = list(keys)
     # Read four times below, so it is computed once.
-    counts = checkpointed(counts)
+    counts = materialised(counts)
     spot = [*keys, "__other", "__at"]
     x = F.col(value).cast("double")
     groups = counts.groupBy(*keys).agg(F.collect_set(group).alias("__groups"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import materialised
 from .joins import complete_levels
 from .keyed import join_groups
 from .scan import quantiles_of_counts
@@ -102,7 +102,7 @@ def tmm_factors(
     The reference is the sample whose upper quartile, per library size, is nearest to the
     mean of all.  Ranks run over the genes of one sample.
     """
-    stored = checkpointed(pb.filter(F.col(count) > 0).groupBy(sample, gene).agg(F.sum(count).cast("double").alias("__y")))
+    stored = materialised(pb.filter(F.col(count) > 0).groupBy(sample, gene).agg(F.sum(count).cast("double").alias("__y")))
     libs = stored.groupBy(sample).agg(F.sum("__y").alias("lib_size"), F.sum(F.sqrt("__y")).alias("__root"))
     n_genes = stored.agg(F.countDistinct(gene).alias("g"))
     zeros = (
@@ -112,9 +112,9 @@ def tmm_factors(
         .select(sample, F.lit(0.0).alias("__y"), (F.col("__g") - F.col("k")).alias("n"))
         .filter(F.col("n") > 0)
     )
-    counts = checkpointed(stored.groupBy(sample, "__y").agg(F.count(F.lit(1)).alias("n")).unionByName(zeros))
+    counts = materialised(stored.groupBy(sample, "__y").agg(F.count(F.lit(1)).alias("n")).unionByName(zeros))
     quartiles = quantiles_of_counts(counts, [sample], "__y", {"q": 0.75}).select(sample, "q")
-    scaled = checkpointed(libs.join(quartiles, sample).withColumn("__f", F.col("q") / F.col("lib_size")))
+    scaled = materialised(libs.join(quartiles, sample).withColumn("__f", F.col("q") / F.col("lib_size")))
     centre = scaled.agg(F.avg("__f").alias("m"), F.median("__f").alias("d"))
     nearest = F.min_by(sample, F.struct(F.abs(F.col("__f") - F.col("m")), F.col(sample)))
     fullest = F.min_by(sample, F.struct(-F.col("__root"), F.col(sample)))
@@ -156,7 +156,7 @@ def tmm_factors(
         F.try_divide(F.sum(weight * F.col("__m")), F.sum(weight)).alias("__f"), F.max(F.abs("__m")).alias("__max")
     )
     raw = F.when(F.col("__max") < 1e-6, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), F.coalesce("__f", F.lit(0.0))))
-    raw_factors = checkpointed(
+    raw_factors = materialised(
         join_groups(scaled.select(sample, "lib_size"), factors, [sample]).select(
             sample, "lib_size", F.coalesce(raw, F.lit(1.0)).alias("__raw")
         )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import materialised
 from .keyed import join_groups
 
 BLOCK_ROWS = 4_000_000
@@ -54,11 +54,11 @@ def ordered(
     *,
     block_rows: int = BLOCK_ROWS,
     cuts: int = CUTS,
-    materialised: bool = False,
+    stored: bool = False,
 ) -> Ordered:
     """Prepare running values of ``df`` in ascending ``order`` within ``by``."""
     by = list(by)
-    keyed = (df if materialised else checkpointed(df)).withColumn("__order", order)
+    keyed = (df if stored else materialised(df)).withColumn("__order", order)
     largest = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= block_rows:
         return Ordered(keyed, tuple(by), False)
@@ -117,10 +117,10 @@ def accumulate(
     measures: Mapping[str, tuple[str, Column]],
     *,
     block_rows: int = BLOCK_ROWS,
-    materialised: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """:func:`ordered` and one :func:`running`."""
-    return running(ordered(df, by, order, block_rows=block_rows, materialised=materialised), measures).plain()
+    return running(ordered(df, by, order, block_rows=block_rows, stored=stored), measures).plain()
 
 
 def with_position(
@@ -155,7 +155,7 @@ def exact_quantiles(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Interpolated (type 7) quantiles per group, from value counts instead of buffered rows."""
-    return quantiles_of_counts(checkpointed(value_counts(df, by, value)), by, value, probs, block_rows=block_rows)
+    return quantiles_of_counts(materialised(value_counts(df, by, value)), by, value, probs, block_rows=block_rows)
 
 
 def quantiles_of_counts(
@@ -164,7 +164,7 @@ def quantiles_of_counts(
     """Quantiles from a materialised histogram ``by, value, n``."""
     totals = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
     upto = accumulate(
-        counts, by, F.col(value), {"__upto": ("sum", F.col("n"))}, block_rows=block_rows, materialised=True
+        counts, by, F.col(value), {"__upto": ("sum", F.col("n"))}, block_rows=block_rows, stored=True
     )
     ranked = join_groups(upto, totals, by)
     parts, outputs = [], []

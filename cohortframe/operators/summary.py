@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import share
-from ..session import checkpointed
+from ..session import materialised
 from .joins import complete_levels
 from .keyed import join_groups
 from .scan import BLOCK_ROWS, exact_quantiles, quantiles_of_counts, value_counts
@@ -67,7 +67,7 @@ def group_profile(df: DataFrame, by: Sequence[str], value: str, name: str = "mea
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Quartiles, whisker ends at 1.5 IQR and the number of points beyond them."""
-    counts = checkpointed(value_counts(df, by, value))
+    counts = materialised(value_counts(df, by, value))
     quartiles = quantiles_of_counts(
         counts, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, block_rows=block_rows
     )

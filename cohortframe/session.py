@@ -25,6 +25,9 @@ def local_session(cpus: int | str = 8, app: str = "cohortframe", memory: str = "
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -34,9 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="cohortframe-")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="cohortframe-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -44,9 +50,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and forget how it was made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and free of its lineage.
+
+    A written table rather than ``checkpoint()``: readers prune columns, the optimizer sees
+    its size, and a loop does not drag the constraints of earlier rounds along.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

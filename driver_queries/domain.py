@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortframe.operators import embed, enrich, graph, markers, multiple, neighbours, pseudobulk, score, tidy
+from cohortframe.operators import embed, enrich, glm, graph, markers, multiple, neighbours, pseudobulk, score, tidy
+
+from cohortframe.session import materialised
 
 from .registry import Tables, query, r
 
@@ -681,3 +683,42 @@ def _(t: Tables):
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     parts = nodes.withColumn("community", F.col("node") % 6)
     return graph.modularity(edges, parts).withColumn("modularity", r("modularity", 9))
+
+
+# --- differential expression ------------------------------------------------------------
+
+
+def _status_bulk(t: Tables):
+    """Pseudobulk per region and order status: regions are the patients, statuses the groups."""
+    cells = order_cells(t).select(
+        "cell_id",
+        F.concat_ws("_", F.col("n_regionkey").cast("string"), "o_orderstatus").alias("sample"),
+        F.col("n_regionkey").cast("string").alias("patient"),
+        F.col("o_orderstatus").alias("group"),
+    )
+    samples = cells.select("sample", "patient", "group").distinct()
+    return pseudobulk.pseudobulk(order_expr(t), cells, ["sample"]), samples
+
+
+@query("S8_dispersion")
+def _(t: Tables):
+    bulk, samples = _status_bulk(t)
+    design = glm.design_matrix(samples, {"patient": None, "group": "F"})
+    return glm.estimate_dispersion(bulk, pseudobulk.tmm_factors(bulk), design)
+
+
+@query("S9_S10_paired_de")
+def _(t: Tables):
+    bulk, samples = _status_bulk(t)
+    kept = materialised(pseudobulk.filter_by_expr(bulk, samples, "group"))
+    design = glm.design_matrix(samples, {"patient": None, "group": "F"})
+    contrasts = {"O vs F": "groupO", "P vs F": "groupP", "P vs O": {"groupP": 1.0, "groupO": -1.0}}
+    return glm.pseudobulk_de(kept, pseudobulk.tmm_factors(kept), design, contrasts)
+
+
+@query("S9_S10_unpaired_de_bh")
+def _(t: Tables):
+    bulk = materialised(nation_bulk(t))
+    design = glm.design_matrix(nation_samples(t), {"group": "0"})
+    tests = {f"{g} vs 0": f"group{g}" for g in "1234"}
+    return glm.pseudobulk_de(bulk, pseudobulk.tmm_factors(bulk), design, tests, method="BH")
