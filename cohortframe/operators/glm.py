@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_upper
-from ..session import materialised
+from ..session import materialised, shuffle_partitions
 from .multiple import adjust_p
 
 MAX_SAMPLES = 5_000
@@ -94,7 +94,8 @@ def _gene_rows(pb: DataFrame, design: Design, sample: str, gene: str, count: str
     filled = F.transform(
         F.array(*[F.lit(s) for s in design.samples]), lambda s: F.coalesce(F.try_element_at("__m", s), F.lit(0.0))
     )
-    return found.select(gene, filled.alias("y"))
+    # A fixed number of partitions: the fits take long for their bytes, so small ones must not merge.
+    return found.select(gene, filled.alias("y")).repartition(shuffle_partitions(pb.sparkSession), gene)
 
 
 def _effective_sizes(factors: DataFrame, design: Design, sample: str) -> np.ndarray:
@@ -268,7 +269,7 @@ def pseudobulk_de(
 
     if dispersion is None:
         dispersion = estimate_dispersion(pb, factors, design, sample=sample, gene=gene, count=count)
-    rows = _gene_rows(pb, design, sample, gene, count).join(dispersion.select(gene, "dispersion"), gene)
+    rows = dispersion.select(gene, "dispersion").join(_gene_rows(pb, design, sample, gene, count), gene)
     id_type = rows.schema[gene].dataType.simpleString()
     schema = f"{gene} {id_type}, contrast STRING, log_fc DOUBLE, log_cpm DOUBLE, lr DOUBLE"
     tested = rows.mapInPandas(test, schema).withColumn("p_value", chi2_upper("lr"))

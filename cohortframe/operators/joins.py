@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .keyed import join_groups, unique_by
 from .scan import BLOCK_ROWS, with_position
 
@@ -157,8 +158,8 @@ def complete_levels(
     level names meet in one row; the combinations are generated after they are spread out.
     """
     declared = dict(levels or {})
-    for dim in dims:
-        counts = counts.filter(F.col(dim).isNotNull())
+    # Read twice below; the counts are small beside the rows they stand for.
+    counts = materialised(counts.dropna(subset=list(dims)).select(*dims, *values))
     occurs = F.col(values[0]).isNotNull()
     observed = [F.array_sort(F.collect_set(F.when(occurs, F.col(d)))).alias(f"__l_{d}") for d in dims]
     grid = counts.agg(*observed)
@@ -173,7 +174,7 @@ def complete_levels(
         if i == 0:
             grid = grid.repartition(dim)
     grid = grid.select(*dims)
-    full = grid.join(counts.select(*dims, *values), list(dims), "left")
+    full = grid.join(counts, list(dims), "left")
     return full.withColumns({v: F.coalesce(F.col(v), F.lit(fill).cast(counts.schema[v].dataType)) for v in values})
 
 

@@ -31,7 +31,7 @@ def share_of_total(
     """Add the group total and each row's share of it; NULL share in an empty group.
 
     The total comes from a partial aggregate joined back, so a group that holds a large part
-    of all rows is not gathered in one task.
+    of all rows is not gathered in one task.  ``df`` is read twice: pass counts, not cells.
     """
     totals = df.groupBy(*by).agg(F.sum(value).alias(total_name))
     return join_groups(df, totals, by).withColumn(share_name, share(value, total_name))
@@ -156,7 +156,7 @@ def zscore_vs_global(
     The cells are read once: the global figures are rolled up from count, mean and spread of
     the populations.
     """
-    pops = (
+    pops = materialised(
         df.filter(F.col(value).isNotNull())
         .groupBy(population, feature)
         .agg(

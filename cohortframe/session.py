@@ -50,6 +50,10 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and free of its lineage.
 
