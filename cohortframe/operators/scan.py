@@ -64,11 +64,11 @@ def ordered(
         return Ordered(keyed, tuple(by), False)
     identity = [*by, "__order"]
     picks = keyed.groupBy(*by, F.pmod(F.xxhash64(F.lit(1), *identity), F.lit(cuts)).alias("__class")).agg(
-        F.min(F.struct(F.xxhash64(*identity).alias("h"), F.col("__order").alias("o"))).alias("__pick"),
+        F.min_by("__order", F.xxhash64(*identity)).alias("__pick"),
         F.count(F.lit(1)).alias("__rows"),
     )
     # At most ``cuts`` values per group; groups that need no cut get no row.
-    chosen = [F.sum("__rows").alias("__rows"), F.array_sort(F.collect_list("__pick.o")).alias("__cuts")]
+    chosen = [F.sum("__rows").alias("__rows"), F.array_sort(F.collect_list("__pick")).alias("__cuts")]
     large = F.col("__rows") > block_rows
     if by:
         keyed = join_groups(keyed, picks.groupBy(*by).agg(*chosen).filter(large).drop("__rows"), by)

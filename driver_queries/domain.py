@@ -237,7 +237,7 @@ def _(t: Tables):
 def _sample_means(t: Tables):
     """Mean value per user in each event type: feature = day of month."""
     return t.events.groupBy(
-        F.dayofmonth("ts").alias("feature"), F.col("user_id").alias("sample_name"), F.col("event_type").alias("sample_type")
+        F.dayofmonth("ts").cast("bigint").alias("feature"), F.col("user_id").alias("sample_name"), F.col("event_type").alias("sample_type")
     ).agg(r(F.avg("value"), 6).alias("score"))
 
 
