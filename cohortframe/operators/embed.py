@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .keyed import join_groups
 
-# Profiles are samples, populations or genes of a heat map; their square table is the result.
-MAX_PROFILES = 5_000
+# Profiles whose values one batch of feature rows carries at a time.
+PROFILE_BLOCK = 2_000
+# Samples of a component analysis, whose square table reaches the driver.
+MAX_SAMPLES = 5_000
 
 
 def cell_vectors(
@@ -67,60 +71,67 @@ def cell_pca(
 
 
 def _pairwise(
-    long: DataFrame, ids: Sequence[str], profile: str, feature: str, value: str, combine: Callable[[np.ndarray], np.ndarray]
+    long: DataFrame,
+    profile: str,
+    feature: str,
+    value: str,
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    block: int = PROFILE_BLOCK,
 ) -> DataFrame:
-    """Sum over features of a function of two profiles' values: ``i, j, total`` with i <= j.
+    """Sum over features of a function of two profiles' values: ``id_1 <= id_2, total``.
 
-    A feature row carries the values of all profiles; each batch of rows adds to one square
-    table per partition, so the pairs are not written out per feature.
+    A feature row carries the values of one or two blocks of profiles; each batch of rows adds
+    to one table per partition, so the pairs are not written out per feature.  The table of
+    all pairs is the result and sets how many profiles there can be.
     """
-    names = list(ids)
-    if len(names) > MAX_PROFILES:
-        raise ValueError(f"{len(names)} profiles; the square table is meant for at most {MAX_PROFILES}")
-    width = len(names)
-    rows = long.groupBy(feature).agg(
-        F.map_from_entries(F.collect_list(F.struct(profile, F.col(value).cast("double").alias("v")))).alias("__m")
+    rows = materialised(
+        long.filter(F.col(profile).isNotNull())
+        .groupBy(feature)
+        .agg(F.map_from_entries(F.collect_list(F.struct(profile, F.col(value).cast("double").alias("v")))).alias("__m"))
     )
-    dense = rows.select(
-        F.transform(
-            F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("__m", n), F.lit(0.0))
-        ).alias("x")
-    )
-
-    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for frame in frames:
-            if len(frame):
-                total += combine(np.vstack(frame["x"].to_numpy()))
-        i, j = np.triu_indices(width)
-        yield pd.DataFrame({"i": i, "j": j, "part": total[i, j]})
-
-    parts = dense.mapInPandas(add_up, "i INT, j INT, part DOUBLE")
-    return parts.groupBy("i", "j").agg(F.sum("part").alias("total"))
-
-
-def _squared_differences(block: np.ndarray) -> np.ndarray:
-    total = np.zeros((block.shape[1],) * 2)
-    for values in block:
-        total += (values[:, None] - values[None, :]) ** 2
+    ids = sorted(row[0] for row in rows.select(F.explode(F.map_keys("__m"))).distinct().collect())
+    blocks = [ids[start : start + block] for start in range(0, len(ids), block)] or [[]]
+    id_type = long.schema[profile].dataType.simpleString()
+
+    def values(names):
+        listed = F.array(*[F.lit(n) for n in names])
+        return F.transform(listed, lambda n: F.coalesce(F.try_element_at("__m", n), F.lit(0.0)))
+
+    def table(first: list, second: list) -> DataFrame:
+        def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(first), len(second)))
+            for frame in frames:
+                if len(frame):
+                    total += combine(np.vstack(frame["x"].to_numpy()), np.vstack(frame["y"].to_numpy()))
+            i, j = np.triu_indices(len(first)) if first is second else np.indices(total.shape).reshape(2, -1)
+            left, right = np.array(first, object)[i], np.array(second, object)[j]
+            yield pd.DataFrame({"id_1": left, "id_2": right, "part": total[i, j]})
+
+        dense = rows.select(values(first).alias("x"), values(second).alias("y"))
+        return dense.mapInPandas(add_up, f"id_1 {id_type}, id_2 {id_type}, part DOUBLE")
+
+    tables = [table(a, b) for n, a in enumerate(blocks) for b in blocks[n:] if a]
+    if not tables:
+        return long.sparkSession.createDataFrame([], f"id_1 {id_type}, id_2 {id_type}, total DOUBLE")
+    return reduce(DataFrame.unionByName, tables).groupBy("id_1", "id_2").agg(F.sum("part").alias("total"))
+
+
+def _squared_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    total = np.zeros((x.shape[1], y.shape[1]))
+    for a, b in zip(x, y):
+        total += (a[:, None] - b[None, :]) ** 2
     return total
 
 
-def _profile_ids(long: DataFrame, profile: str) -> list:
-    found = long.select(profile).filter(F.col(profile).isNotNull()).distinct().limit(MAX_PROFILES + 1)
-    return sorted(row[0] for row in found.collect())
-
+def profile_distances(
+    long: DataFrame, profile: str, feature: str, value: str, *, block: int = PROFILE_BLOCK
+) -> DataFrame:
+    """Euclidean distance of every pair of profiles (``id_1 < id_2``); a missing value is 0.
 
-def profile_distances(long: DataFrame, profile: str, feature: str, value: str) -> DataFrame:
-    """Euclidean distance of every pair of profiles (``id_1 < id_2``); a missing value is 0."""
-    ids = _profile_ids(long, profile)
-    sums = _pairwise(long, ids, profile, feature, value, _squared_differences).filter("i < j")
-    names = F.array(*[F.lit(n) for n in ids]) if ids else F.array(F.lit(None))
-    return sums.select(
-        F.get(names, F.col("i")).alias("id_1"),
-        F.get(names, F.col("j")).alias("id_2"),
-        F.sqrt("total").alias("distance"),
-    )
+    ``long`` has one row per profile and feature.
+    """
+    sums = _pairwise(long, profile, feature, value, _squared_differences, block).filter("id_1 < id_2")
+    return sums.select("id_1", "id_2", F.sqrt("total").alias("distance"))
 
 
 def standardised(long: DataFrame, feature: str, value: str, name: str = "x") -> DataFrame:
@@ -134,12 +145,8 @@ def standardised(long: DataFrame, feature: str, value: str, name: str = "x") ->
 
 def sample_gram(long: DataFrame, sample: str = "sample", gene: str = "gene", value: str = "log_cpm") -> DataFrame:
     """Inner products of the standardised profiles of all pairs of samples (``id_1 <= id_2``)."""
-    ids = _profile_ids(long, sample)
-    sums = _pairwise(standardised(long, gene, value), ids, sample, gene, "x", lambda block: block.T @ block)
-    names = F.array(*[F.lit(n) for n in ids]) if ids else F.array(F.lit(None))
-    return sums.select(
-        F.get(names, F.col("i")).alias("id_1"), F.get(names, F.col("j")).alias("id_2"), F.col("total").alias("product")
-    )
+    sums = _pairwise(standardised(long, gene, value), sample, gene, "x", lambda x, y: x.T @ y)
+    return sums.withColumnRenamed("total", "product")
 
 
 def sample_pca(
@@ -151,7 +158,10 @@ def sample_pca(
     whose eigenvectors give the scores.  The sign makes the largest score of a component
     positive.
     """
-    gram = sample_gram(long, sample, gene, value).toPandas()
+    products = materialised(sample_gram(long, sample, gene, value))
+    if products.filter("id_1 = id_2").count() > MAX_SAMPLES:
+        raise ValueError(f"components of samples are meant for at most {MAX_SAMPLES} samples")
+    gram = products.toPandas()
     ids = sorted(set(gram["id_1"]) | set(gram["id_2"]))
     place = {name: i for i, name in enumerate(ids)}
     matrix = np.zeros((len(ids), len(ids)))

@@ -326,7 +326,8 @@ def test_projection_counts_zeros(spark):
     assert moved[0] == pytest.approx(moved[1])
 
 
-def test_profile_distance(spark):
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_profile_distance(spark, block):
     long = spark.createDataFrame([("a", "x", 3.0), ("b", "y", 4.0), ("c", "x", 3.0)], "p STRING, f STRING, v DOUBLE")
-    got = sorted(tuple(r) for r in embed.profile_distances(long, "p", "f", "v").collect())
+    got = sorted(tuple(r) for r in embed.profile_distances(long, "p", "f", "v", block=block).collect())
     assert got == [("a", "b", 5.0), ("a", "c", 0.0), ("b", "c", 5.0)]
