@@ -27,7 +27,7 @@ from .token_counts import MARKS, STEP, spelled, tokenizer
 
 CAPACITY = 4096
 #: Pieces a partition packs in the first round, and partitions whose open bins meet in one.
-PIECES = 65_536
+PIECES = 16_384
 FAN_IN = 16
 #: Chunks a worker keeps.
 CACHE_ROWS = 600_000
@@ -181,6 +181,14 @@ def _packed(ids: np.ndarray, sizes: np.ndarray, capacity: int, group: int, last:
     )
 
 
+def _packer(capacity: int, last: bool):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row", ignore_index=True)
+        return _packed(frame["row"].to_numpy(), frame["length"].to_numpy(), capacity, int(key[0]), last)
+
+    return run
+
+
 _PACKED = "row long, length long, bin long, offset long, open boolean, grp long, gap long"
 
 
@@ -202,11 +210,7 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES)
     while True:
         last = parts == 1
 
-        def run(key: tuple, frame: pd.DataFrame, last: bool = last) -> pd.DataFrame:
-            frame = frame.sort_values("row", ignore_index=True)
-            return _packed(frame["row"].to_numpy(), frame["length"].to_numpy(), capacity, int(key[0]), last)
-
-        packed = materialised(todo.groupBy("grp").applyInPandas(run, _PACKED))
+        packed = materialised(todo.groupBy("grp").applyInPandas(_packer(capacity, last), _PACKED))
         done.append(
             packed.where("not open").select(
                 "row", F.struct(F.lit(number).alias("round"), "grp", "bin").alias("at"), "offset"

@@ -101,12 +101,16 @@ class Lengths(dict):
         return self.whole(text) if chunks is None else sum(map(self.__getitem__, chunks))
 
 
-@lru_cache(maxsize=2)
-def _worker_lengths(path: str, key: str) -> Lengths:
-    return Lengths(path, _TABLES[key])
+_WORKER: dict[tuple, Lengths] = {}
 
 
-_TABLES: dict[str, dict[str, int]] = {}
+def _worker_lengths(path: str, table: dict[str, int]) -> Lengths:
+    """The lookup of this worker; it outlives the task, so that the next one finds a warm cache."""
+    key = path, len(table)
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Lengths(path, table)
+    return _WORKER[key]
 
 
 def frequent_chunks(texts: Iterable[str | None], path: str, rows: int = TABLE_ROWS) -> dict[str, int]:
@@ -139,9 +143,7 @@ def token_counts(
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = str(hash((path, len(table.value), next(iter(table.value), ""))))
-        _TABLES.setdefault(key, table.value)
-        lengths = _worker_lengths(path, key)
+        lengths = _worker_lengths(path, table.value)
         for batch in batches:
             for start in range(0, batch.num_rows, STEP):
                 part = batch.slice(start, STEP)
