@@ -198,10 +198,9 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES)
     The number of sequences is within the certified gaps of the partitions of the least that is
     possible; no rows give no rows.
     """
-    # Full pieces fill a bin each.
+    # Full pieces fill a bin each, numbered by the piece; shared bins get numbers below zero.
     full = rows.where(F.col("length") == capacity).select(
-        "row", F.struct(F.lit(-1).alias("round"), F.lit(0).cast("long").alias("grp"), F.col("row").alias("bin")).alias("at"),
-        F.lit(0).cast("long").alias("offset"),
+        "row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     todo = rows.where(F.col("length") < capacity).select("row", "length")
     parts = -(-max(1, todo.count()) // pieces_each)
@@ -211,11 +210,8 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES)
         last = parts == 1
 
         packed = materialised(todo.groupBy("grp").applyInPandas(_packer(capacity, last), _PACKED))
-        done.append(
-            packed.where("not open").select(
-                "row", F.struct(F.lit(number).alias("round"), "grp", "bin").alias("at"), "offset"
-            )
-        )
+        shared = -1 - F.expr(f"shiftleft(grp * 64 + {number}, 24) + bin")
+        done.append(packed.where("not open").select("row", shared.alias("sequence_id"), "offset"))
         if last:
             break
         parts, number = -(-parts // FAN_IN), number + 1
@@ -223,7 +219,7 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES)
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out.select("row", F.xxhash64("at.round", "at.grp", "at.bin").alias("sequence_id"), "offset")
+    return out
 
 
 def pack(
