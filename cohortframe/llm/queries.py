@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from cohortframe.session import new_folder
+
+from . import packing, quality, secrets, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,9 +32,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_secret_scan")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    findings = secrets.scan(docs, new_folder(spark), "doc_id", first=True)
+    return secrets.digests(docs, findings, "doc_id")
+
+
 @query("op9_token_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.drop("text").withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op10_quality")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    scored = quality.score(docs, model).drop("text")
+    return scored.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
