@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.session import new_folder
 
-from . import packing, quality, secrets, token_counts
+from . import chat, packing, quality, secrets, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,45 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(docs, findings, "doc_id")
 
 
+@query(
+    "op8_chat_formatting",
+    f"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), formed AS (
+        SELECT *, regexp_replace(
+            text, '([<\\[])(~*(?:{chat.CONTROL}))', '\\1~\\2', 'g') AS safe
+        FROM rows
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum({len(chat.START)} + length(role) + {len(chat.MIDDLE)} + length(safe) + {len(chat.END)})::BIGINT AS formatted_chars
+    FROM formed GROUP BY conv_id
+    """,
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L AS conv_id, id AS turn, element_at(array('user', 'assistant'), int(id) + 1) AS role, '' AS text FROM range(2)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra.withColumn("text", F.lit(probe)))
+    done = chat.format_trees(chat.with_parents(rows, "conv_id", "turn"), "conv_id", "node", "parent")
+    read = done.withColumns(
+        {"turns": chat.turns_of(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))}
+    )
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(written, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op9_token_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
