@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks in the broadcast table, and documents looked at to find them. Both set the speed only:
+#: Chunks in the broadcast table, and documents looked at to find them, shorter than so many
+#: characters, so that the driver holds 20 MB of text at most. They set the speed only:
 #: a chunk that the table lacks is encoded by the worker that meets it.
 TABLE_ROWS = 50_000
 TABLE_DOCS = 4_000
+SAMPLE_CHARS = 5_000
 #: Chunks a worker keeps besides the table.
 CACHE_ROWS = 700_000
 #: Texts handled at a time.
@@ -136,7 +138,7 @@ def token_counts(
     replaced. Repeated rows are counted each; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    sample = docs.select(F.col(text).alias("t")).limit(table_docs).toLocalIterator()
+    sample = docs.select(F.col(text).alias("t")).where(F.length("t") < SAMPLE_CHARS).take(table_docs)
     table = spark.sparkContext.broadcast(frequent_chunks((r["t"] for r in sample), path))
     docs = docs.drop(name)
     place = docs.columns.index(text)
