@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.session import new_folder
 
-from . import chat, packing, quality, secrets, token_counts
+from . import chat, exact_dedup, packing, quality, secrets, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(docs, findings, "doc_id")
 
 
+@query(
+    "op7_exact_dedup",
+    """
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    """,
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_chat_formatting",
     f"""
