@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +54,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = (row["n"], row["s"])
         large = materialised(_larger_to_smaller(_large_star(edges)))
         edges = materialised(_larger_to_smaller(_small_star(large)))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` positions the smallest one that the links ``i, j`` reach."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

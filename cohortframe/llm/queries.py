@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.session import new_folder
 
-from . import chat, exact_dedup, packing, quality, secrets, simhash, token_counts
+from . import chat, cover_tree, exact_dedup, packing, quality, secrets, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(docs, findings, "doc_id")
 
 
+@query("op5_embedding_near_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_simhash")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

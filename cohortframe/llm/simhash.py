@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cohortframe.session import materialised
 
-from .common import components, text_of
+from .common import components, forest, text_of
 
 BITS = 64
 #: Pairs of fingerprints that a task looks at, at most, for one pair of nodes.
@@ -176,22 +176,6 @@ def traverse(values: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` positions the smallest one that the links ``i, j`` reach."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        np.minimum.at(new, label[i], least)
-        np.minimum.at(new, label[j], least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _links(budget: int):
     firsts = np.array([a for a, _ in blocks(budget)], np.uint64)
 
