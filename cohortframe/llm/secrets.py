@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,6 +37,10 @@ class Rule:
     hints: tuple[str, ...] = ()
     ignore_case: bool = False
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}:{self.version}"
+
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
@@ -59,39 +64,37 @@ EXTRA = (
 )
 RULES = (*BASE, *EXTRA)
 
-_SPANS = "array<struct<start:bigint,end:bigint>>"
+_LEDGER = "blob binary, rules array<string>, found array<struct<kind:string,start:bigint,end:bigint>>"
+#: Rows of text that pass to a worker at a time while scanning.
+BATCH = 256
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``blob, kind, version, spans`` for each blob (``blob, text``) and rule, none found included.
+    """``blob, rules, found`` for each of the blobs ``blob, text``: rule versions applied, and their spans.
 
     Offsets count code points; the end is exclusive.
     """
     rules = tuple(rules)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, r.compiled()) for r in rules]
+        applied = [r.name for r in rules]
         for batch in batches:
-            names, kinds, versions, spans = [], [], [], []
-            for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            spans = []
+            for value in batch.column(1):
+                text, found = value.as_py(), []
                 low = text.lower()
                 for rule, pattern in compiled:
-                    found = []
                     if not rule.hints or any(h in low for h in rule.hints):
                         for m in pattern.finditer(text):
                             if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                                found.append({"start": m.start(), "end": m.end()})
-                    names.append(blob)
-                    kinds.append(rule.kind)
-                    versions.append(rule.version)
-                    spans.append(found)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(kinds), pa.array(versions, pa.int32()), pa.array(spans, kind)],
-                names=["blob", "kind", "version", "spans"],
-            )
+                                found.append({"kind": rule.kind, "start": m.start(), "end": m.end()})
+                spans.append(found)
+            columns = [batch.column(0), pa.array([applied] * len(spans), pa.list_(pa.string())), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["blob", "rules", "found"])
 
-    return blobs.select("blob", "text").mapInArrow(run, f"blob binary, kind string, version int, spans {_SPANS}")
+    return blobs.select("blob", "text").mapInArrow(run, _LEDGER)
 
 
 def versions_of(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -99,17 +102,20 @@ def versions_of(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
     return rows.select(F.col(path).alias("path"), F.unhex(F.sha2(text_of(text), 256)).alias("blob"))
 
 
-def _read_ledger(spark: SparkSession, ledger: str, rules: Sequence[Rule]) -> DataFrame:
-    read = spark.read.schema(f"blob binary, kind string, version int, spans {_SPANS}").parquet(ledger)
-    wanted = [F.col("kind").eqNullSafe(r.kind) & (F.col("version") == r.version) for r in rules]
-    keep = F.lit(False)
-    for one in wanted:
-        keep = keep | one
-    return read.where(keep)
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Whole texts are large rows: fewer of them at a time keep the workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def scan(rows: DataFrame, ledger: str, path: str, text: str = "text", rules: Sequence[Rule] = RULES, first: bool = False) -> DataFrame:
-    """Scan what the ledger lacks, append to it, and return ``path, kind, spans`` with spans, by path.
+    """Scan what the ledger lacks, append to it, and return ``path, kind, start, end``, a span a row.
 
     ``rows`` are versions: a path may occur often, and each of its contents is scanned. ``first``
     says that the folder ``ledger`` holds nothing yet. Only pairs of blob and rule version that the
@@ -121,13 +127,18 @@ def scan(rows: DataFrame, ledger: str, path: str, text: str = "text", rules: Seq
     for group in [tuple(rules)] if first else [(r,) for r in rules]:
         todo = named
         if not first:
-            known = _read_ledger(spark, ledger, group).select("blob")
+            known = spark.read.schema(_LEDGER).parquet(ledger).where(F.array_contains("rules", group[0].name))
             # Names first: what is new is usually little, and then no old text is shuffled.
-            new = materialised(named.select("blob").distinct().join(known, "blob", "left_anti"))
+            new = materialised(named.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"))
             todo = named.join(new, "blob", "left_semi")
-        scan_blobs(todo.distinct(), group).write.mode("append").parquet(ledger)
-    found = _read_ledger(spark, ledger, rules).where(F.size("spans") > 0).select("blob", "kind", "spans")
-    return versions_of(rows, path, text).join(found, "blob").select("path", "kind", "spans")
+        with _small_batches(spark):
+            scan_blobs(todo.distinct(), group).write.mode("append").parquet(ledger)
+    found = spark.read.schema(_LEDGER).parquet(ledger).where(F.size("found") > 0)
+    wanted = F.lit(False)
+    for rule in rules:
+        wanted = wanted | ((F.col("s.kind") == rule.kind) & F.array_contains("rules", rule.name))
+    found = found.select("blob", "rules", F.explode("found").alias("s")).where(wanted)
+    return versions_of(rows, path, text).join(found, "blob").select("path", "s.kind", "s.start", "s.end")
 
 
 def digests(rows: DataFrame, findings: DataFrame, key: str, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -136,12 +147,8 @@ def digests(rows: DataFrame, findings: DataFrame, key: str, rules: Sequence[Rule
     Spans are written ``kind:start:end``, by start and then by the place of their kind in ``rules``.
     """
     place = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
-    spans = findings.select(
-        F.col("path").alias(key), F.transform(
-            "spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("kind")].alias("k"), s["end"].alias("end"), F.col("kind").alias("kind"))
-        ).alias("spans"),
-    )
-    listed = spans.groupBy(key).agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+    span = F.struct("start", place[F.col("kind")].alias("k"), "end", "kind")
+    listed = findings.groupBy(F.col("path").alias(key)).agg(F.array_sort(F.collect_set(span)).alias("spans"))
     written = lambda xs: F.array_join(
         F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
     )
