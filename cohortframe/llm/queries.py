@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortframe.session import new_folder
+from cohortframe.session import materialised, new_folder
 
-from . import chat, cover_tree, exact_dedup, packing, quality, secrets, simhash, token_counts
+from . import chat, cover_tree, exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,46 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_mix_sources",
+    f"""
+    WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
+    rates AS (
+        SELECT source, CASE WHEN size > 0 THEN
+            pow(size, 0.5) / (SELECT sum(pow(size, 0.5)) FROM sizes) * (SELECT sum(size) FROM sizes) / size ELSE 0 END AS rate
+        FROM sizes
+    ),
+    k AS (SELECT source, rate, unnest(range(0, ceil(rate + {mixing.TAIL} * sqrt(rate) + {mixing.TAIL})::BIGINT + 1)) AS k FROM rates),
+    p AS (
+        SELECT source, rate, k, CASE WHEN rate = 0 THEN (k = 0)::INT::DOUBLE ELSE exp(
+            CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - rate - sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END)
+            OVER (PARTITION BY source ORDER BY k)) END AS p FROM k
+    ),
+    steps AS (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM p),
+    drawn AS (
+        SELECT doc_id, text, lang, source, n_chars,
+            ('0x' || left(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 13))::BIGINT / pow(2, 52) AS u FROM documents
+    ),
+    counted AS (
+        SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n
+        FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.below <= d.u GROUP BY ALL
+    ),
+    copies AS (SELECT * EXCLUDE n, unnest(range(0, n))::INT AS copy FROM counted)
+    SELECT *, ('0x' || left(md5('mix-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 13))::BIGINT / pow(2, 52)
+        AS shuffle_key FROM copies
+    """,
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Sources weighted by the square root of their characters, the whole keeping its size."""
+    sizes = mixing.source_sizes(docs, size=F.length(F.coalesce("text", F.lit(""))))
+    sizes = materialised(sizes)
+    return mixing.mix(docs, mixing.repetition_rates(sizes, mixing.tempered(sizes)))
+
+
 @query("op2_best_fit_packing")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -39,6 +79,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(docs, findings, "doc_id")
 
 
+@query("op4_line_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, removed="n_removed").withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op5_embedding_near_dedup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
