@@ -62,8 +62,8 @@ def mix(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source: str = "s
 
     The number is the inverse of the distribution function at a uniform number hashed from the seed
     and the key, so a rerun, a lost task or another partitioning repeats the same rows. Columns
-    ``copy`` (from 0) and ``order`` are added, replacing ones with these names; output files
-    are sorted by ``order``, range after range. Rows with one key in one source draw the same number; missing
+    ``copy`` (from 0) and ``order`` are added, replacing ones with these names; ``order`` is uniform
+    and puts the whole mix in one random order, by which each output file is sorted. Rows with one key in one source draw the same number; missing
     keys draw as one key. A source that ``rates`` lacks has the rate 0. An empty table gives
     an empty one.
     """
@@ -76,6 +76,5 @@ def mix(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source: str = "s
     drawn = drawn.withColumn("__n", number).where("__n > 0")
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__source", "__steps", "__u", "__n")
     copies = copies.withColumn(order, uniform(seed + "-order", F.col(key), F.col(copy)))
-    # The order is a uniform number: equal ranges of it are equal shares, without a sample of the rows.
-    n = shuffle_partitions(docs.sparkSession)
-    return copies.repartition(n, F.floor(F.col(order) * n)).sortWithinPartitions(order)
+    # Dealt out by the hash of a uniform number, then sorted by it: a random place for every copy.
+    return copies.repartition(shuffle_partitions(docs.sparkSession), order).sortWithinPartitions(order)
