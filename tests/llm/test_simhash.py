@@ -47,7 +47,8 @@ def test_traverse_finds_all_pairs():
     base = random.integers(0, 1 << 63, 40, dtype=np.uint64)
     noisy = [b ^ np.bitwise_or.reduce(np.uint64(1) << random.integers(0, 64, 3).astype(np.uint64)) for b in base for _ in range(4)]
     values = np.unique(np.array([*base, *noisy], np.uint64))
-    i, j = simhash.traverse(values, np.zeros(len(values), int), np.array([0]), np.array([0]), 4)
+    parts = list(simhash.traverse(values, np.zeros(len(values), int), np.array([0]), np.array([0]), 4))
+    i, j = (np.concatenate(x) for x in zip(*parts))
     want = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if int(values[a] ^ values[b]).bit_count() <= 4}
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
 
@@ -83,6 +84,31 @@ def test_near_duplicates(spark):
     assert sorted(map(tuple, got)) == sorted((k, f"{prints[k]:016x}", want[k]) for k in [*prints, 0])
 
 
+@pytest.mark.parametrize("pairs", [simhash.PAIRS, 64])
+def test_similar_sets(spark, pairs):
+    random = np.random.default_rng(2)
+    rows, base = [], []
+    for g in range(12):
+        words = [f"g{g}w{random.integers(0, 10**6)}" for _ in range(400)]
+        base.append(words)
+        for c in range(4):  # four changed words: about 0.9
+            changed = list(words)
+            for k in random.choice(400, 4, replace=False) if c else []:
+                changed[k] = f"x{random.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    for g in range(12):  # half of the words are others: far below 0.8
+        rows.append((len(rows), " ".join(base[g][:200] + [f"y{random.integers(0, 10**6)}" for _ in range(200)])))
+    rows += [(100, ""), (101, None), (102, "one"), (103, "one"), (104, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, simhash.similar(docs, pairs=pairs).collect()))
+    want = {k: k // 4 * 4 if k < 48 else k for k, _ in rows} | {101: 100, 103: 102}
+    assert got == want
+
+
+def test_similar_of_empty_table(spark):
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
