@@ -126,17 +126,21 @@ def group_pairs(df: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
 def check_aligned(
     left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, tol: float = 1.5e-8
 ) -> DataFrame:
-    """One row: keys on one side only, mean relative difference, and whether both agree."""
+    """One row: keys on one side only, mean relative difference, and whether both agree.
+
+    Both sums run over the elements that differ: equal ones do not dilute the difference.
+    """
     a = left.select(F.col(key).alias("__a"), F.col(left_value).cast("double").alias("__x"))
     b = right.select(F.col(key).alias("__b"), F.col(right_value).cast("double").alias("__y"))
     both = a.join(b, F.col("__a") == F.col("__b"), "full")
     one_sided = F.col("__a").isNull() | F.col("__b").isNull()
     one_null = ~one_sided & (F.col("__x").isNull() != F.col("__y").isNull())
+    unequal = ~one_sided & (F.col("__x") != F.col("__y"))
     summary = both.agg(
         F.count_if(one_sided).alias("one_sided_keys"),
         F.count_if(one_null).alias("one_sided_nulls"),
-        F.sum(F.abs(F.col("__x") - F.col("__y"))).alias("__diff"),
-        F.sum(F.when(F.col("__y").isNotNull() & ~one_sided, F.abs("__x"))).alias("__size"),
+        F.sum(F.when(unequal, F.abs(F.col("__x") - F.col("__y")))).alias("__diff"),
+        F.sum(F.when(unequal, F.abs("__x"))).alias("__size"),
     )
     diff = F.coalesce("__diff", F.lit(0.0))
     relative = F.coalesce(F.try_divide(diff, F.col("__size")), diff)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .keyed import join_groups
 from .scan import BLOCK_ROWS, ordered, running
 
@@ -25,10 +26,15 @@ def adjust_p(
 
     Missing p-values stay missing and do not count.  Ties need no tie-break: Holm takes the
     first rank of a tie and BH the last, which is what the running maximum and minimum leave.
+    Equal p-values are counted before they are put in order, and the result is joined back to
+    the tests, so that the many ties at 1 never meet in one task.
     """
     p = F.col(p_col)
-    known = F.when(p.isNotNull(), F.lit(1).cast("bigint"))
-    rows = ordered(df, family, p, block_rows=block_rows)
+    tests = materialised(df)
+    # At most one row per distinct value.
+    counts = tests.groupBy(*family, p_col).agg(F.count(F.lit(1)).alias("__n"))
+    known = F.when(p.isNotNull(), F.col("__n"))
+    rows = ordered(counts, family, p, block_rows=block_rows)
     if method == "holm":
         # Tests from here on, counted from the largest p down: n - rank + 1.
         counted = running(rows, {"__left": ("sum", known)}, descending=True)
@@ -36,13 +42,14 @@ def adjust_p(
     elif method == "BH":
         counted = running(rows, {"__rank": ("sum", known)})
         if family:
-            sized = join_groups(counted.df, rows.df.groupBy(*family).agg(F.count(p_col).alias("__tests")), family)
+            sized = join_groups(counted.df, rows.df.groupBy(*family).agg(F.sum(known).alias("__tests")), family)
         else:
-            sized = counted.df.withColumn("__tests", rows.df.agg(F.count(p_col).alias("t")).scalar())
+            sized = counted.df.withColumn("__tests", rows.df.agg(F.sum(known).alias("t")).scalar())
         scaled = sized.withColumn("__scaled", p * F.col("__tests") / F.nullif("__rank", F.lit(0)))
         stepped = running(counted.having(scaled), {"__adj": ("min", F.col("__scaled"))}, descending=True)
     else:
         raise ValueError("method must be 'holm' or 'BH'")
     result = F.when(p.isNotNull(), F.least(F.lit(1.0), F.col("__adj")))
-    named = {adjusted: result} | ({method_name: F.lit(method)} if method_name else {})
-    return stepped.plain().withColumns(named).drop("__left", "__rank", "__tests", "__scaled", "__adj")
+    found = stepped.plain().select(*family, p_col, result.alias(adjusted))
+    joined = join_groups(tests.drop(adjusted), found, [*family, p_col])
+    return joined.withColumn(method_name, F.lit(method)) if method_name else joined

@@ -5,7 +5,8 @@ input, usually a histogram, is materialised once and its largest group measured.
 ``block_rows`` rows the plain window is used.  Beyond that every group is cut into value
 ranges, each range is accumulated alone, and the totals of the ranges before it are added.
 The cut points are values picked by their hash, so they depend on the data only, and a task
-that runs again after the loss of an executor finds the same ranges.
+that runs again after the loss of an executor finds the same ranges. Their number follows from
+the size of the group; more are picked than needed and evenly thinned, which evens the ranges.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from ..session import materialised
 from .keyed import join_groups
 
 BLOCK_ROWS = 4_000_000
-CUTS = 64
+#: Values picked for each cut that is kept.
+PICKS = 8
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 _JOIN = {
@@ -53,7 +55,6 @@ def ordered(
     order: Column,
     *,
     block_rows: int = BLOCK_ROWS,
-    cuts: int = CUTS,
     stored: bool = False,
 ) -> Ordered:
     """Prepare running values of ``df`` in ascending ``order`` within ``by``."""
@@ -63,17 +64,23 @@ def ordered(
     if largest <= block_rows:
         return Ordered(keyed, tuple(by), False)
     identity = [*by, "__order"]
+    cuts = PICKS * -(-2 * largest // block_rows)
     picks = keyed.groupBy(*by, F.pmod(F.xxhash64(F.lit(1), *identity), F.lit(cuts)).alias("__class")).agg(
         F.min_by("__order", F.xxhash64(*identity)).alias("__pick"),
         F.count(F.lit(1)).alias("__rows"),
     )
-    # At most ``cuts`` values per group; groups that need no cut get no row.
-    chosen = [F.sum("__rows").alias("__rows"), F.array_sort(F.collect_list("__pick")).alias("__cuts")]
-    large = F.col("__rows") > block_rows
+    # At most ``cuts`` values per group, one for each half of ``block_rows`` after thinning, so that uneven
+    # ranges stay below ``block_rows``; groups that need no cut get no row.
+    chosen = [F.sum("__rows").alias("__rows"), F.array_sort(F.collect_list("__pick")).alias("__picks")]
+    wanted = F.ceil(2 * F.col("__rows") / block_rows)
+    stride = F.greatest(F.lit(1), F.floor(F.size("__picks") / wanted)).cast("int")
+    thinned = F.filter("__picks", lambda _, i: (i + 1) % F.col("__stride") == 0).alias("__cuts")
+    large = picks.groupBy(*by).agg(*chosen).filter(F.col("__rows") > block_rows)
+    large = large.withColumn("__stride", stride).select(*by, thinned)
     if by:
-        keyed = join_groups(keyed, picks.groupBy(*by).agg(*chosen).filter(large).drop("__rows"), by)
+        keyed = join_groups(keyed, large, by)
     else:
-        keyed = keyed.withColumn("__cuts", picks.agg(*chosen).select("__cuts").scalar())
+        keyed = keyed.withColumn("__cuts", large.select("__cuts").scalar())
     below = F.size(F.filter("__cuts", lambda cut: cut <= F.col("__order")))
     return Ordered(
         keyed.withColumn("__block", F.coalesce(below, F.lit(0))).drop("__cuts"), tuple(by), True
@@ -98,7 +105,7 @@ def running(
     totals = rows.df.groupBy(*block).agg(
         *[_FOLD[fn](col).alias(f"__t_{name}") for name, (fn, col) in measures.items()]
     )
-    # One row per block, at most CUTS + 1 for a group.
+    # One row per block.
     before = Window.partitionBy(*rows.by).orderBy(direction("__block")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *block, *[_FOLD[fn](f"__t_{name}").over(before).alias(f"__b_{name}") for name, (fn, _) in measures.items()]

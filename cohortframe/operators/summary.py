@@ -89,10 +89,11 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, *, block_rows: int =
 def binned_density(
     df: DataFrame, by: Sequence[str], value: str, bins: int, low: float | None = None, high: float | None = None
 ) -> DataFrame:
-    """Histogram on equal bins: count, share of the group and density.
+    """Histogram on equal bins: count, share of the group and density, empty bins included.
 
     Without ``low`` and ``high`` the range is that of the data; values outside a given range
-    are left out, and the upper end belongs to the last bin.
+    are left out, and the upper end belongs to the last bin. A group without a value in the
+    range has no rows.
     """
     x = F.col(value).cast("double")
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
@@ -101,15 +102,20 @@ def binned_density(
     ranged = df.withColumns({"__lo": lo, "__hi": hi}).filter((x >= F.col("__lo")) & (x <= F.col("__hi")))
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     at = F.coalesce(F.floor(F.try_divide(x - F.col("__lo"), width)), F.lit(0))
+    # At most ``bins`` rows per group from here on.
     counted = (
-        ranged.withColumns({"bin": F.least(at, F.lit(bins - 1)).cast("bigint"), "__width": width})
-        .groupBy(*by, "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("__lo").alias("__lo"), F.max("__width").alias("__width"))
+        ranged.withColumns({"__bin": F.least(at, F.lit(bins - 1)).cast("bigint"), "__width": width})
+        .groupBy(*by, "__bin")
+        .agg(F.count(F.lit(1)).alias("__n"), F.max("__lo").alias("__lo"), F.max("__width").alias("__width"))
+    )
+    found = F.map_from_entries(F.collect_list(F.struct("__bin", "__n")))
+    totals = (
+        counted.groupBy(*by)
+        .agg(F.sum("__n").alias("__total"), F.max("__lo").alias("__lo"), F.max("__width").alias("__width"), found.alias("__found"))
+        .filter(F.col("__total") > 0)
+        .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
+        .withColumn("n", F.coalesce(F.try_element_at("__found", F.col("bin")), F.lit(0).cast("bigint")))
     )
-    if by:
-        totals = join_groups(counted, counted.groupBy(*by).agg(F.sum("n").alias("__total")), by)
-    else:
-        totals = counted.withColumn("__total", counted.agg(F.sum("n").alias("t")).scalar())
     return totals.select(
         *by,
         "bin",

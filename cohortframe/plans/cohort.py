@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import before_mark, member, sample_key, without_suffix
+from ..functions.scalar import before_mark, joined_key, member, sample_key, without_suffix
 from ..operators import embed, enrich, glm, joins, markers, neighbours, pseudobulk, reshape, score, summary, tidy
 from ..operators.keyed import constant_within
 from ..session import materialised
@@ -126,9 +126,20 @@ def signature_table(spark: SparkSession, signatures: Mapping[str, Sequence[str]]
     return spark.createDataFrame(rows, "signature STRING, gene STRING")
 
 
-def signature_means(cells: DataFrame, expr: DataFrame, signatures: DataFrame, n_features: int, **scoring) -> DataFrame:
-    """Mean rank score of the leukemic cells per sample and signature; undetected genes are left out."""
-    usable = tidy.present_features(signatures, expr)
+def signature_means(
+    cells: DataFrame,
+    expr: DataFrame,
+    signatures: DataFrame,
+    n_features: int,
+    *,
+    features: DataFrame | None = None,
+    **scoring,
+) -> DataFrame:
+    """Mean rank score of the leukemic cells per sample and signature.
+
+    ``features`` is the table of detected genes; genes of a signature that it lacks are left out.
+    """
+    usable = signatures if features is None else tidy.present_features(signatures, features)
     gated = cells.filter(F.col("gate") == "Leukemia").select("cell_id", "Sample_Name", "sample_type", "relapse")
     scores = score.rank_score(gated, expr, usable, n_features, **scoring)
     return scores.groupBy("Sample_Name", "signature").agg(
@@ -164,7 +175,7 @@ def expression_tests(
 
     The design follows from the columns in ``by``; nothing is typed in by hand.
     """
-    keyed = cells.withColumn("sample", F.concat_ws("|", *[F.col(c).cast("string") for c in by]))
+    keyed = cells.withColumn("sample", joined_key(*by, sep="|"))
     samples = keyed.select("sample", *by).distinct()
     bulk = materialised(pseudobulk.pseudobulk(expr, keyed, ["sample"]))
     kept = materialised(pseudobulk.filter_by_expr(bulk, samples, group))

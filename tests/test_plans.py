@@ -89,7 +89,7 @@ def made(spark):
 
 def test_signature_workflow(spark, made):
     cells, expr, genes = made
-    means = cohort.signature_means(cells, expr, cohort.signature_table(spark), len(genes), max_rank=len(genes))
+    means = cohort.signature_means(cells, expr, cohort.signature_table(spark), len(genes), features=expr, max_rank=len(genes))
     assert means.count() == 8 * 2
     tests = {(r.cohort, r.signature): r for r in cohort.signature_tests(means).collect()}
     assert set(tests) == {(c, s) for c in ("all", "relapse yes") for s in ("Mito_ETC", "Pyrimidine_synthesis")}

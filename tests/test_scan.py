@@ -47,6 +47,21 @@ def test_positions(rows, block_rows, by):
         assert list(ordered["rn"]) == list(range(1, len(part) + 1))
 
 
+def test_cuts_follow_the_size(spark):
+    df = spark.range(60_000).withColumn("g", F.lit(1))
+    sizes = scan.ordered(df, ["g"], F.col("id"), block_rows=100).df.groupBy("__block").count().toPandas()["count"]
+    assert len(sizes) > 400 and sizes.max() < 400
+
+
+def test_ties_are_adjusted_together(spark):
+    ps = [1.0] * 300 + [0.01, 0.02, 0.02, None]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(ps)], "id INT, p DOUBLE")
+    for method in ("holm", "BH"):
+        got = {r.id: r.q for r in multiple.adjust_p(df, "p", [], method, adjusted="q", block_rows=2).collect()}
+        want = {"holm": [1.0] * 3, "BH": [1.0] * 3}[method]
+        assert [got[300 + k] for k in range(3)] == pytest.approx(want) and got[303] is None and len(got) == 304
+
+
 def test_blocks_stay_small_and_split_the_hot_group(rows):
     _, df = rows
     kept = scan.ordered(df.select("g", "id"), ["g"], F.col("id"), block_rows=200)

@@ -122,6 +122,9 @@ def test_alignment_check(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k INT, x DOUBLE")
     b = spark.createDataFrame([(1, 1.0), (2, 2.0 + 1e-9)], "k INT, y DOUBLE")
     assert joins.check_aligned(a, b, "k", "x", "y").first().aligned
+    many = spark.range(1000).select(F.col("id").alias("k"), F.lit(1.0).alias("x"))
+    one_off = many.select("k", F.when(F.col("k") == 7, 1.00001).otherwise(1.0).alias("y"))
+    assert joins.check_aligned(many, one_off, "k", "x", "y").first().mean_rel_diff == pytest.approx(1e-5)
     assert not joins.check_aligned(a, b.filter("k = 1"), "k", "x", "y").first().aligned
     assert not joins.check_aligned(a, b.withColumn("y", F.when(F.col("k") == 1, F.col("y"))), "k", "x", "y").first().aligned
 
