@@ -380,16 +380,16 @@ _LIBS = f"b AS ({NATION_BULK}), l AS (SELECT sample, sum(count) AS lib_size FROM
 
 
 # Part numbers by their number of binary digits: each such gene is twice as abundant as the one before it.
-_DECADES = """b AS (SELECT n_name AS sample, CAST(CAST(floor(log2(l_partkey)) AS BIGINT) AS VARCHAR) AS gene, CAST(sum(l_quantity) AS DOUBLE) AS count
+_DECADES = """b AS (SELECT n_name AS sample, CAST(CAST(floor(log2(l_partkey + 1)) AS BIGINT) AS VARCHAR) AS gene, CAST(sum(l_quantity) AS DOUBLE) AS count
                     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
                     JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
               l AS (SELECT sample, sum(count) AS lib_size FROM b GROUP BY ALL)"""
 
 
 def decade_bulk(t: Tables):
-    expr = t.lineitem.filter("l_partkey > 0").select(
+    expr = t.lineitem.select(
         F.col("l_orderkey").alias("cell_id"),
-        F.floor(F.log2("l_partkey")).cast("string").alias("gene"),
+        F.floor(F.log2(F.col("l_partkey") + 1)).cast("string").alias("gene"),
         F.col("l_quantity").cast("bigint").alias("count"),
     )
     return pseudobulk.pseudobulk(expr, order_cells(t), ["sample"])
