@@ -68,3 +68,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+def products(a0: np.ndarray, a: np.ndarray, b0: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the ranges ``a0 .. a0 + a`` and ``b0 .. b0 + b``; of equal ranges each pair once, and itself."""
+    total = a * b
+    which = np.repeat(np.arange(len(total)), total)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
+    i, j = a0[which] + k // b[which], b0[which] + k % b[which]
+    keep = (i <= j) | ~same[which]
+    return i[keep], j[keep]

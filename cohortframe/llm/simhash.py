@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cohortframe.session import materialised
 
-from .common import components, forest, text_of
+from .common import components, forest, products, text_of
 
 BITS = 64
 #: Pairs of fingerprints that a task looks at, at most, for one pair of nodes.
@@ -169,7 +169,7 @@ def traverse(
         changed[1:] |= prefix[1:] != prefix[:-1]
         node, start_ = np.cumsum(changed) - 1, np.flatnonzero(changed)
         a0, b0 = node[start[left]], node[start[right]]
-        down_l, down_r = _products(a0, node[stop[left] - 1] + 1 - a0, b0, node[stop[right] - 1] + 1 - b0, left == right)
+        down_l, down_r = products(a0, node[stop[left] - 1] + 1 - a0, b0, node[stop[right] - 1] + 1 - b0, left == right)
         keep = np.bitwise_count(seen[start_[down_l]] ^ seen[start_[down_r]]) <= budget
         left, right = down_l[keep], down_r[keep]
         start, stop = start_, np.append(start_[1:], n)
@@ -177,20 +177,10 @@ def traverse(
     work = np.cumsum((stop[left] - start[left]) * (stop[right] - start[right])) // PAIRS
     for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(work)) + 1):
         u, v = left[part], right[part]
-        i, j = _products(start[u], stop[u] - start[u], start[v], stop[v] - start[v], u == v)
+        i, j = products(start[u], stop[u] - start[u], start[v], stop[v] - start[v], u == v)
         yield i[i != j], j[i != j]
 
 
-def _products(a0: np.ndarray, a: np.ndarray, b0: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of the ranges ``a0 .. a0 + a`` and ``b0 .. b0 + b``; of equal ranges each pair once, and itself."""
-    total = a * b
-    which = np.repeat(np.arange(len(total)), total)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
-    i, j = a0[which] + k // b[which], b0[which] + k % b[which]
-    keep = (i <= j) | ~same[which]
-    return i[keep], j[keep]
-
-
 def _links(budget: int, bits: int, limit: int | None):
     """Links that connect what is connected, at most one per entry of each task."""
 
