@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortframe.session import materialised
+from cohortframe.session import materialised, shuffle_partitions
 
 from .common import text_of
 
@@ -67,6 +67,8 @@ RULES = (*BASE, *EXTRA)
 _LEDGER = "blob binary, rules array<string>, found array<struct<kind:string,start:bigint,end:bigint>>"
 #: Rows of text that pass to a worker at a time while scanning.
 BATCH = 256
+#: A run adds one file to the ledger for so many shuffle partitions: its rows are short, its runs many.
+FILES = 16
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -131,8 +133,9 @@ def scan(rows: DataFrame, ledger: str, path: str, text: str = "text", rules: Seq
             # Names first: what is new is usually little, and then no old text is shuffled.
             new = materialised(named.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"))
             todo = named.join(new, "blob", "left_semi")
+        scanned = scan_blobs(todo.distinct(), group).repartition(max(1, shuffle_partitions(spark) // FILES))
         with _small_batches(spark):
-            scan_blobs(todo.distinct(), group).write.mode("append").parquet(ledger)
+            scanned.write.mode("append").parquet(ledger)
     found = spark.read.schema(_LEDGER).parquet(ledger).where(F.size("found") > 0)
     wanted = F.lit(False)
     for rule in rules:
