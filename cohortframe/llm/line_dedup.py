@@ -128,10 +128,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     gone = repeated_lines(docs, key, text, min_words).groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     gone = materialised(gone).withColumnRenamed("doc", "__doc")
     joined = docs.join(gone, F.col(key) == F.col("__doc"), "left")
-    lines = lines_of(F.col(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    rest = F.when(F.size(kept) == 0, F.lit("")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), ""))
-    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest))
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+        return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "")
+
+    # A list of one list, so that the text is split once and not for each of its lines.
+    left = F.get(F.transform(F.array(lines_of(F.col(text))), rest), F.lit(0))
+    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
     if removed:
         joined = joined.withColumn(removed, F.coalesce(F.size("__gone"), F.lit(0)))
     return joined.drop("__doc", "__gone")

@@ -2,8 +2,8 @@
 
 Documents become token sequences that are packed into bins of ``capacity`` tokens. Every
 partition packs its pieces by best-fit decreasing and holds the number of bins against a lower
-bound from dual-feasible functions. Bins beyond the bound, and the emptiest bin of each
-partition, are exchanged: they are dealt to fewer partitions, which pack them again, until
+bound from dual-feasible functions. As many of its emptiest bins as are open, and as many with
+many small pieces, are exchanged: they are dealt to fewer partitions, which pack them again, until
 one partition is left. A partition never sees more than the open bins of ``FAN_IN`` others.
 """
 
@@ -168,9 +168,13 @@ def _packed(ids: np.ndarray, sizes: np.ndarray, capacity: int, group: int, last:
     gap = len(used) - lower_bound(sizes, capacity)
     leave = np.zeros(len(used), bool)
     if not last:
-        # The emptiest bins: one more than the gap leaves open, as many full ones to exchange with.
-        leave[np.argsort(used, kind="stable")[: 2 * gap + 1]] = True
-        leave &= used < capacity
+        # The emptiest bins go on, as many as are open beyond the bound or by chance of the deal, which
+        # is of the order of the root; and as many with the most pieces, which others can fill up with.
+        spare = int(len(used) - sizes.sum() / capacity)
+        number = min(spare, gap + int(len(used) ** 0.5)) + 1
+        leave[np.argsort(used, kind="stable")[:number]] = True
+        if spare:
+            leave[np.argsort(-np.bincount(bins), kind="stable")[:number]] = True
     order = np.lexsort((ids, bins))
     b, s = bins[order], sizes[order]
     before = np.cumsum(s) - s
@@ -195,8 +199,9 @@ _PACKED = "row long, length long, bin long, offset long, open boolean, grp long,
 def assign(rows: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES) -> DataFrame:
     """``row, sequence_id, offset`` for the pieces ``row, length`` (``row`` unique, 1..capacity).
 
-    The number of sequences is within the certified gaps of the partitions of the least that is
-    possible; no rows give no rows.
+    Every partition reports in ``gap`` by how many bins it is above its certified bound. What the deal
+    of the pieces costs beyond that is made up for by the exchange, not certified. No rows give
+    no rows.
     """
     # Full pieces fill a bin each, numbered by the piece; shared bins get numbers below zero.
     full = rows.where(F.col("length") == capacity).select(
