@@ -89,7 +89,10 @@ def _pairwise(
         .groupBy(feature)
         .agg(F.map_from_entries(F.collect_list(F.struct(profile, F.col(value).cast("double").alias("v")))).alias("__m"))
     )
-    ids = sorted(row[0] for row in rows.select(F.explode(F.map_keys("__m"))).distinct().collect())
+    names = rows.select(F.explode(F.map_keys("__m"))).distinct().limit(MAX_SAMPLES + 1).collect()
+    if len(names) > MAX_SAMPLES:
+        raise ValueError(f"tables of all pairs are meant for at most {MAX_SAMPLES} profiles")
+    ids = sorted(row[0] for row in names)
     blocks = [ids[start : start + block] for start in range(0, len(ids), block)] or [[]]
     id_type = long.schema[profile].dataType.simpleString()
 
@@ -117,9 +120,13 @@ def _pairwise(
 
 
 def _squared_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    total = np.zeros((x.shape[1], y.shape[1]))
-    for a, b in zip(x, y):
-        total += (a[:, None] - b[None, :]) ** 2
+    """Sums over the rows by three products; where they cancel, which loses digits, the differences themselves."""
+    size = (x * x).sum(axis=0)[:, None] + (y * y).sum(axis=0)[None, :]
+    total = size - 2.0 * (x.T @ y)
+    i, j = np.nonzero(total < 1e-6 * size)
+    for start in range(0, len(i), 4_096):
+        a, b = i[start : start + 4_096], j[start : start + 4_096]
+        total[a, b] = ((x[:, a] - y[:, b]) ** 2).sum(axis=0)
     return total
 
 
@@ -158,10 +165,7 @@ def sample_pca(
     whose eigenvectors give the scores.  The sign makes the largest score of a component
     positive.
     """
-    products = materialised(sample_gram(long, sample, gene, value))
-    if products.filter("id_1 = id_2").count() > MAX_SAMPLES:
-        raise ValueError(f"components of samples are meant for at most {MAX_SAMPLES} samples")
-    gram = products.toPandas()
+    gram = sample_gram(long, sample, gene, value).toPandas()
     ids = sorted(set(gram["id_1"]) | set(gram["id_2"]))
     place = {name: i for i, name in enumerate(ids)}
     matrix = np.zeros((len(ids), len(ids)))

@@ -21,9 +21,9 @@ from ..session import materialised, shuffle_partitions
 from .multiple import adjust_p
 
 MAX_SAMPLES = 5_000
-# Dispersions 0.1 * 2^-6 .. 0.1 * 2^6, prior degrees of freedom and prior count
+# Dispersions 0.1 * 2^-10 .. 0.1 * 2^10, prior degrees of freedom and prior count
 # of the published method.
-GRID = 0.1 * 2.0 ** np.linspace(-6, 6, 13)
+GRID = 0.1 * 2.0 ** np.linspace(-10, 10, 21)
 PRIOR_DF = 10.0
 FOLD_PRIOR = 0.125
 CPM_PRIOR = 2.0
@@ -123,7 +123,7 @@ def _deviance(y: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
 
 
 def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, rounds: int = 50):
-    """Fisher scoring for all rows of ``y`` together: coefficients, means, deviances, information."""
+    """Fisher scoring for all rows of ``y`` together: coefficients, means, deviances, information, converged."""
     phi = phi[:, None]
 
     def means(b):
@@ -132,6 +132,7 @@ def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, roun
     beta = (np.log(y + 0.5) - offset) @ np.linalg.pinv(x).T
     mu = means(beta)
     deviance = _deviance(y, mu, phi)
+    settled = np.zeros(len(y), bool)
     for _ in range(rounds):
         weight = mu / (1.0 + phi * mu)
         information = np.einsum("gs,sp,sq->gpq", weight, x, x, optimize=True) + 1e-9 * np.eye(x.shape[1])
@@ -146,13 +147,13 @@ def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, roun
                 break
             scale[worse] *= 0.5
         trial[worse], moved[worse], now[worse] = beta[worse], mu[worse], deviance[worse]
-        change = np.abs(deviance - now).max(initial=0.0)
+        settled = np.abs(deviance - now) < 1e-8 * (1.0 + np.abs(now))
         beta, mu, deviance = trial, moved, now
-        if change < 1e-8:
+        if settled.all():
             break
     weight = mu / (1.0 + phi * mu)
     information = np.einsum("gs,sp,sq->gpq", weight, x, x, optimize=True) + 1e-9 * np.eye(x.shape[1])
-    return beta, mu, deviance, information
+    return beta, mu, deviance, information, settled
 
 
 def _profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray) -> np.ndarray:
@@ -160,7 +161,7 @@ def _profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray)
     curve = np.empty((len(y), len(grid)))
     for i, value in enumerate(grid):
         phi = np.full(len(y), value)
-        _, mu, _, information = _fit(y, x, offset, phi, rounds=15)
+        _, mu, _, information, _ = _fit(y, x, offset, phi)
         size = 1.0 / value
         likelihood = (
             _log_gamma(y + size)
@@ -183,7 +184,10 @@ def estimate_dispersion(
     gene: str = "gene",
     count: str = "count",
 ) -> DataFrame:
-    """Per gene: ``common`` and shrunken ``dispersion``.
+    """Per gene: ``common`` and shrunken ``dispersion``, and whether it lies ``at_bound``.
+
+    The grid spans six decades; a maximum at one of its ends says that the data favour a
+    dispersion beyond it, and is marked.
 
     The likelihood of a gene over a grid of dispersions is added to the average curve of all
     genes, weighted by ``prior_df`` over the residual degrees of freedom; the maximum is
@@ -216,7 +220,13 @@ def estimate_dispersion(
     mixed = own.withColumn("__shared", shared).withColumn(
         "__mixed", F.zip_with("curve", "__shared", lambda a, b: a + weight * b)
     )
-    return mixed.select(gene, peak(F.col("__shared")).alias("common"), peak(F.col("__mixed")).alias("dispersion"))
+    at = F.array_position("__mixed", F.array_max("__mixed"))
+    return mixed.select(
+        gene,
+        peak(F.col("__shared")).alias("common"),
+        peak(F.col("__mixed")).alias("dispersion"),
+        ((at == 1) | (at == len(grid))).alias("at_bound"),
+    )
 
 
 def pseudobulk_de(
@@ -235,7 +245,8 @@ def pseudobulk_de(
 
     A contrast is tested against the model whose coefficients satisfy it with zero.  Fold
     changes (log2) come from a fit with a small prior count, ``log_cpm`` from the mean over
-    the samples.  Adjusted p-values are per contrast.
+    the samples.  Adjusted p-values are per contrast.  A gene whose fits have not ``converged`` has
+    no test.
     """
     sizes = _effective_sizes(factors, design, sample)
     offset, x = np.log(sizes), design.matrix
@@ -252,18 +263,21 @@ def pseudobulk_de(
             if not len(frame):
                 continue
             y, phi = np.vstack(frame["y"].to_numpy()), frame["dispersion"].to_numpy(float)
-            full = _fit(y, x, offset, phi)[2]
+            full, whole = _fit(y, x, offset, phi)[2::2]
             folds = _fit(y + fold_prior, x, np.log(sizes + 2.0 * fold_prior), phi)[0] / np.log(2.0)
             level = np.log2(((y + cpm_prior) / (sizes + 2.0 * cpm_prior) * 1e6).mean(axis=1))
             for name, vector in tests.items():
-                ratio = np.maximum(_fit(y, reduced[name], offset, phi)[2] - full, 0.0)
+                null, settled = _fit(y, reduced[name], offset, phi)[2::2]
+                settled &= whole
+                ratio = np.where(settled, np.maximum(null - full, 0.0), np.nan)
                 yield pd.DataFrame(
                     {
                         gene: frame[gene].to_numpy(),
                         "contrast": name,
                         "log_fc": folds @ vector,
                         "log_cpm": level,
-                        "lr": ratio,
+                        "lr": [None if np.isnan(r) else r for r in ratio],
+                        "converged": settled,
                     }
                 )
 
@@ -271,6 +285,7 @@ def pseudobulk_de(
         dispersion = estimate_dispersion(pb, factors, design, sample=sample, gene=gene, count=count)
     rows = dispersion.select(gene, "dispersion").join(_gene_rows(pb, design, sample, gene, count), gene)
     id_type = rows.schema[gene].dataType.simpleString()
-    schema = f"{gene} {id_type}, contrast STRING, log_fc DOUBLE, log_cpm DOUBLE, lr DOUBLE"
-    tested = rows.mapInPandas(test, schema).withColumn("p_value", chi2_upper("lr"))
+    schema = f"{gene} {id_type}, contrast STRING, log_fc DOUBLE, log_cpm DOUBLE, lr DOUBLE, converged BOOLEAN"
+    tested = rows.mapInPandas(test, schema).withColumn("lr", F.nanvl("lr", F.lit(None).cast("double")))
+    tested = tested.withColumn("p_value", F.when(F.col("lr").isNotNull(), chi2_upper("lr")))
     return adjust_p(tested, "p_value", ["contrast"], method).orderBy("contrast", "p_value", gene)

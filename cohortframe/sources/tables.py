@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scan import with_position
+from ..session import materialised
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """CSV with a header row and a declared schema; a header that differs fails the read."""
@@ -18,20 +21,40 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, **optio
     )
 
 
+def read_csv_in_order(
+    spark: SparkSession, path: str, schema: T.StructType | str, order: str = "row_idx", **options
+) -> DataFrame:
+    """:func:`read_csv` with the number of each row, from 1, in the order of the files.
+
+    Files count in the order of their paths. The number is given once and written, so that it
+    stays the same however often the table is read.
+    """
+    rows = read_csv(spark, path, schema, **options)
+    place = {
+        "__file": F.col("_metadata.file_path"),
+        "__start": F.col("_metadata.file_block_start"),
+        "__row": F.monotonically_increasing_id(),  # grows along a block of a file
+    }
+    placed = with_position(rows.select("*", *[c.alias(n) for n, c in place.items()]), [], list(place), order)
+    return materialised(placed.drop(*place))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with header.  A row name is an ordinary column here, so there is no index."""
     df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_csv_per_key(
-    df: DataFrame, path: str, key: str, *, parts: int = 1, mode: str = "errorifexists"
+    df: DataFrame, path: str, key: str, *, parts: int | None = None, mode: str = "errorifexists"
 ) -> None:
     """One folder ``key=value`` of CSV files per value; NULL goes to the default partition.
 
-    ``parts`` above 1 writes that many files per value and lets as many tasks share a value
-    that holds a large part of the rows.
+    Values with many rows are split over tasks and files by their size; ``parts`` fixes the
+    number of files per value instead.
     """
-    if parts > 1:
+    if parts is None:
+        spread = df.hint("rebalance", F.col(key))
+    elif parts > 1:
         salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(parts))
         spread = df.repartition(F.col(key), salt)
     else:

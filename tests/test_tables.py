@@ -129,6 +129,26 @@ def test_alignment_check(spark):
     assert not joins.check_aligned(a, b.withColumn("y", F.when(F.col("k") == 1, F.col("y"))), "k", "x", "y").first().aligned
 
 
+def test_csv_in_file_order(spark, tmp_path):
+    for k, name in enumerate(["b.csv", "a.csv"]):
+        (tmp_path / name).write_text("x,y\n" + "".join(f"{k * 1000 + i},{'v' * 20}\n" for i in (5, 3, 9, *range(100, 400))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        got = io.read_csv_in_order(spark, str(tmp_path), "x INT, y STRING").orderBy("row_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = [5, 3, 9, *range(100, 400)]
+    assert [r.x for r in got] == [1000 + i for i in one] + one and [r.row_idx for r in got] == list(range(1, 607))
+
+
+def test_csv_per_key_without_parts(spark, tmp_path):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    io.write_csv_per_key(df, str(tmp_path / "k"), "k")
+    assert sorted(p.name for p in (tmp_path / "k").glob("k=*")) == ["k=0", "k=1", "k=2"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "k")).count() == 100
+
+
 def test_attach_rejects_double_keys(spark):
     a = spark.createDataFrame([(1,), (3,)], "k INT")
     b = spark.createDataFrame([(1, "x")], "k INT, v STRING")
