@@ -59,12 +59,14 @@ def _blocks(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataF
     lines = lines.withColumn("upto", F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     lines = lines.withColumn("before", F.col("upto") - F.col("words"))
     whole = Window.partitionBy("doc", "run")
+    # Most runs are chance repeats of a few words: they hold no block.
+    lines = lines.withColumn("total", F.max("upto").over(whole)).where(F.col("total") >= min_words)
     ahead = whole.orderBy("before").rangeBetween(min_words, 2 * min_words)
     lines = lines.select(
         "doc", "pos", "x", "y", "words",
         F.coalesce(
             F.min("pos").over(ahead),
-            F.when(F.max("upto").over(whole) >= F.col("before") + min_words, F.max("pos").over(whole) + 1),
+            F.when(F.col("total") >= F.col("before") + min_words, F.max("pos").over(whole) + 1),
         ).alias("stop"),
     )
     lines = materialised(lines)
@@ -126,7 +128,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     lose the same lines; rows without a key lose none. An empty table gives an empty one.
     """
     gone = repeated_lines(docs, key, text, min_words).groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
-    gone = materialised(gone).withColumnRenamed("doc", "__doc")
+    # One hash table per partition, whatever the size: texts are moved once and not sorted.
+    gone = materialised(gone).withColumnRenamed("doc", "__doc").hint("shuffle_hash")
     joined = docs.join(gone, F.col(key) == F.col("__doc"), "left")
 
     def rest(lines: Column) -> Column:
