@@ -171,7 +171,7 @@ def _packed(ids: np.ndarray, sizes: np.ndarray, capacity: int, group: int, last:
         # The emptiest bins go on, as many as are open beyond the bound or by chance of the deal, which
         # is of the order of the root; and as many with the most pieces, which others can fill up with.
         spare = int(len(used) - sizes.sum() / capacity)
-        number = min(spare, gap + int(len(used) ** 0.5)) + 1
+        number = min(2 * spare, gap + 2 * int(len(used) ** 0.5)) + 1
         leave[np.argsort(used, kind="stable")[:number]] = True
         if spare:
             leave[np.argsort(-np.bincount(bins), kind="stable")[:number]] = True
