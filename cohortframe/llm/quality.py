@@ -89,7 +89,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> M
         if not len(buckets):
             continue
         rate = RATE * (1 - step / steps)
-        share = (counts / counts.sum())[:, None]
+        share = (counts / counts.sum(dtype=np.float64))[:, None]
         hidden = (vectors[buckets] * share).sum(0)
         logits = hidden @ out + bias
         error = np.exp(logits - logits.max())
@@ -108,16 +108,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
-            rows.append(np.unique([b for w in words_of(text or "") for b in known(w)], return_counts=True))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([b.astype(np.int32) for b, _ in rows], pa.list_(pa.int32())),
-                pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32())),
-            ],
-            names=["label", "buckets", "counts"],
-        )
+        for text in batch.column(2):
+            counts = np.bincount([b for w in words_of(text.as_py() or "") for b in known(w)], minlength=1)
+            buckets = np.flatnonzero(counts)
+            rows.append((buckets.astype(np.uint16).tobytes(), counts[buckets].astype(np.uint32).tobytes()))
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in zip(*rows))]
+        if rows:
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "label", "buckets", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
@@ -129,18 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "label").limit(max_train)
     # Written first: the optimizer then knows how small it is, and no text is shuffled.
-    examples = docs.select("doc_id", "text").join(materialised(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = (
-        examples.select("label", "text").mapInArrow(_counted, "label int, buckets array<int>, counts array<int>").toArrow()
-    )
-    buckets, counts = rows.column("buckets").combine_chunks(), rows.column("counts").combine_chunks()
-    ends = buckets.offsets.to_numpy()
-    flat, n = buckets.values.to_numpy(), counts.values.to_numpy()
-    documents = [(flat[a:b], n[a:b].astype(np.float64)) for a, b in zip(ends, ends[1:])]
-    # The order in which tasks end does not matter.
-    order = sorted(range(len(documents)), key=lambda k: (len(documents[k][0]), documents[k][0].tobytes(), documents[k][1].tobytes()))
-    y = rows.column("label").to_numpy()
-    return fit([documents[k] for k in order], y[order])
+    examples = docs.select("doc_id", "text").join(materialised(chosen), "doc_id")
+    examples = examples.select(F.xxhash64("doc_id", F.lit(SEED)).alias("place"), "label", "text")
+    # Some kilobytes a document: the driver holds 4,000 of them in a few tens of megabytes.
+    rows = examples.mapInArrow(_counted, "place long, label int, buckets binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["place"], r["label"], bytes(r["buckets"][:64])))  # the order in which tasks end does not matter
+    documents = [(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows]
+    return fit(documents, np.array([r["label"] for r in rows], int))
 
 
 _WORKER: dict[int, _Words] = {}
