@@ -34,7 +34,7 @@ def lines_of(text: Column) -> Column:
 
 def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``doc, pos, x, y, words`` of the lines that occur more than once."""
-    line = F.trim(F.translate(F.col("line"), "\n\r\t", "   "))
+    line = F.trim("line", F.lit(" \n\r\t"))
     lines = docs.select(F.col(key).alias("doc"), F.posexplode(lines_of(text_of(text))).alias("pos", "line")).select(
         "doc",
         "pos",
