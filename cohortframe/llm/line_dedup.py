@@ -6,7 +6,8 @@ ever longer blocks of lines: the rank of a block of ``2 ** (k + 1)`` lines comes
 halves, so ranks order the suffixes by their first lines. It ends at the length at which every run
 worth deleting has been told apart. Suffixes that share their first lines up to the least number of
 words form an interval of the longest common prefix; the first of each interval stays, and the
-others lose these lines. A longer repeated run is the union of such blocks, so it goes whole.
+others lose these lines. A longer repeated run is the union of the shortest blocks that begin and
+of those that end at each of its lines, so both kinds are told apart and it goes whole.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def lines_of(text: Column) -> Column:
 def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``doc, pos, x, y, words`` of the lines that occur more than once."""
     line = F.trim("line", F.lit(" \n\r\t"))
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(lines_of(text_of(text))).alias("pos", "line")).select(
+    lines = docs.select(F.col(key).alias("doc"), F.posexplode(lines_of(text_of(text))).alias("pos", "line"))
+    lines = lines.where("line <> ''").select(  # behind the last end there is no line
         "doc",
         "pos",
         F.xxhash64(line).alias("x"),
@@ -48,7 +50,10 @@ def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Repeated lines as ``doc, pos, x, y``, and ``doc, pos, size``: the least lines from there on with enough words."""
+    """Repeated lines as ``doc, pos, x, y``, and ``doc, pos, size``: the least lines with enough words.
+
+    A block begins or ends at each line; one that is the least in both directions is there once.
+    """
     by = Window.partitionBy("doc")
     lines = _repeated(docs, key, text).withColumn("last", F.lag("pos").over(by.orderBy("pos")))
     lines = lines.where("last is null or last <> pos")  # equal rows count as one
@@ -62,16 +67,26 @@ def _blocks(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataF
     # Most runs are chance repeats of a few words: they hold no block.
     lines = lines.withColumn("total", F.max("upto").over(whole)).where(F.col("total") >= min_words)
     ahead = whole.orderBy("before").rangeBetween(min_words, 2 * min_words)
+    behind = whole.orderBy("upto").rangeBetween(-2 * min_words, -min_words)
     lines = lines.select(
-        "doc", "pos", "x", "y", "words",
+        "doc", "pos", "x", "y", "before",
         F.coalesce(
             F.min("pos").over(ahead),
             F.when(F.col("total") >= F.col("before") + min_words, F.max("pos").over(whole) + 1),
         ).alias("stop"),
+        F.coalesce(
+            F.max("pos").over(behind) + 1,
+            F.when(F.col("upto") >= min_words, F.min("pos").over(whole)),
+        ).alias("start"),
+        F.coalesce(F.max("upto").over(behind), F.lit(0)).alias("skipped"),
     )
     lines = materialised(lines)
-    blocks = lines.where("stop is not null and words > 0").select("doc", "pos", (F.col("stop") - F.col("pos")).alias("size"))
-    return lines.select("doc", "pos", "x", "y"), blocks
+    onward = F.struct("pos", (F.col("stop") - F.col("pos")).alias("size"))
+    # Without its last line it still has enough words: then it is not the block that begins at ``start``.
+    longer = F.col("before") - F.col("skipped") >= min_words
+    back = F.when(longer, F.struct(F.col("start").alias("pos"), (F.col("pos") + 1 - F.col("start")).alias("size")))
+    blocks = lines.select("doc", F.explode(F.array(onward, back)).alias("b")).where("b.size is not null")
+    return lines.select("doc", "pos", "x", "y"), blocks.select("doc", "b.pos", "b.size")
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
