@@ -89,16 +89,18 @@ def _prefix(value: Column, depth: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, (BITS - depth).cast("int"))
 
 
-_TASK = ["trie", "depth", "left", "right", "diff"]
+_TASK = ["trie", "depth", "left", "right", "diff", "l", "r"]
 
 
 def node_pairs(entries: DataFrame, budget: int, pairs: int = PAIRS, bits: int = BITS) -> DataFrame:
-    """Pairs of trie nodes ``trie, depth, left, right, diff, task`` that tasks can take.
+    """Pairs of trie nodes ``trie, depth, left, right, diff, slices, l, r, task`` that tasks can take.
 
     It begins with each first block paired with itself and splits the pairs with more than
     ``pairs`` candidates, level by level, into the pairs of their children that stay within the
-    budget. ``entries`` are ``trie, turned``; the first ``bits`` bits count as differences.
+    budget. ``entries`` are ``trie, turned``; the first ``bits`` bits count as differences. Nodes that
+    agree on all bits are cut into ``slices`` by a hash of the id, and ``l`` of one meets ``r`` of the other.
     """
+    side = F.ceil(F.greatest("n_left", "n_right") / F.lit(max(1, int(pairs**0.5)))).cast("int")
     widths = [w for _, w in blocks(budget, bits)]
     starts = F.element_at(F.array(*[F.lit(w) for w in widths]), F.pmod("trie", F.lit(budget + 1)) + 1)
     at = entries.withColumn("depth", starts)
@@ -113,7 +115,10 @@ def node_pairs(entries: DataFrame, budget: int, pairs: int = PAIRS, bits: int =
     while True:
         todo = materialised(todo)
         small = (F.col("n_left") * F.col("n_right") <= pairs) | (F.col("depth") == BITS)
-        fits = todo.where(small).drop("n_left", "n_right")
+        fits = todo.where(small).withColumn("slices", F.when(F.col("n_left") * F.col("n_right") <= pairs, 1).otherwise(side))
+        every = F.sequence(F.lit(0), F.col("slices") - 1)
+        fits = fits.withColumn("l", F.explode(every)).withColumn("r", F.explode(every)).where("left <> right or l <= r")
+        fits = fits.drop("n_left", "n_right")
         done = fits if done is None else done.unionAll(fits)
         large = todo.where(~small)
         if large.isEmpty():
@@ -133,9 +138,10 @@ def node_pairs(entries: DataFrame, budget: int, pairs: int = PAIRS, bits: int =
             "trie", (F.col("depth") + 1).alias("depth"), "diff", "left", "right", F.explode(F.expr("sequence(0, 3)")).alias("c")
         ).select(
             "trie", "depth",
-            F.expr("left * 2 + shiftright(c, 1)").alias("left"), F.expr("right * 2 + (c & 1)").alias("right"),
+            F.expr("shiftleft(left, 1) | shiftright(c, 1)").alias("left"), F.expr("shiftleft(right, 1) | (c & 1)").alias("right"),
             F.expr(f"diff + int(depth <= {bits} and shiftright(c, 1) <> (c & 1))").alias("diff"),
-        ).where((F.col("diff") <= budget) & (F.col("left") <= F.col("right")))
+            F.expr("left = right and c = 2").alias("again"),  # the mirror image of c = 1
+        ).where((F.col("diff") <= budget) & ~F.col("again")).drop("again")
         left = counts.select("trie", "depth", F.col("node").alias("left"), F.col("n").alias("n_left"))
         right = counts.select("trie", "depth", F.col("node").alias("right"), F.col("n").alias("n_right"))
         todo = child.join(left, ["trie", "depth", "left"]).join(right, ["trie", "depth", "right"])
@@ -181,8 +187,59 @@ def traverse(
         yield i[i != j], j[i != j]
 
 
-def _links(budget: int, bits: int, limit: int | None):
-    """Links that connect what is connected, at most one per entry of each task."""
+def _earlier(codes: np.ndarray, i: np.ndarray, j: np.ndarray, trie: np.ndarray) -> np.ndarray:
+    """Whether an earlier trie of :func:`similar` holds the pair, as far as the carried longs show it."""
+    differ = codes[i] ^ codes[j]
+    low = np.uint64((1 << BITS // 2) - 1)
+    found = np.zeros(len(i), bool)
+    for band in range(2 * codes.shape[1]):
+        x = differ[:, band // 2]
+        x = (x if band % 2 == 0 else (x & low) << np.uint64(BITS // 2)) >> np.uint64(BITS - BAND)
+        near = np.bitwise_count(x) <= BAND_BUDGET
+        for k, (first, width) in enumerate(blocks(BAND_BUDGET, BAND)):
+            same = (x >> np.uint64(BAND - first - width)) & np.uint64((1 << width) - 1) == 0
+            found |= near & same & (band * (BAND_BUDGET + 1) + k < trie)
+    return found
+
+
+def _verified(items: pa.StructArray, order: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.ndarray, similarity: float) -> np.ndarray:
+    """``label`` after linking those of the pairs whose sets have the similarity; linked ones are not compared again."""
+    lists = items.field("set")
+    offsets, hashes = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = hashes[offsets[order[k]] : offsets[order[k] + 1]]
+        return sets[k]
+
+    root = label.tolist()
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = top(x), top(y)
+        if p == q:
+            continue
+        a, b = set_of(x), set_of(y)
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+            continue
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+            root[max(p, q)] = min(p, q)
+    return np.array([top(k) for k in range(len(root))], label.dtype)
+
+
+def _links(budget: int, bits: int, limit: int | None, similarity: float | None = None):
+    """Links that connect what is connected, at most one per entry of each task.
+
+    With a ``limit`` but no ``similarity`` the result is the entries that have a candidate instead; with both,
+    pairs are linked whose sets have the similarity.
+    """
 
     def solve(rows: list[tuple[pa.StructArray, int]]) -> pa.RecordBatch:
         items = pa.concat_arrays([r for r, _ in rows])
@@ -195,16 +252,26 @@ def _links(budget: int, bits: int, limit: int | None):
         right = left + np.isin(kinds[left] + 1, kinds)
         ids = items.field("id").to_numpy()[order]
         codes = items.field("code").flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)[order]
-        label = np.arange(len(ids))
+        trie = items.field("trie").to_numpy()[order]
+        label, partner = np.arange(len(ids)), np.zeros(len(ids), bool)
         for i, j in traverse(values[order], group, left, right, budget, bits):
-            i, j = (x[label[i] != label[j]] for x in (i, j))
-            if limit is not None and len(i):
-                near = np.concatenate(
-                    [np.bitwise_count(codes[i[k : k + STEP]] ^ codes[j[k : k + STEP]]).sum(1, dtype=int) <= limit for k in range(0, len(i), STEP)]
-                )
-                i, j = i[near], j[near]
-            if len(i):
-                label = forest(len(ids), label[i], label[j])[label]
+            if limit is None:
+                i, j = (x[label[i] != label[j]] for x in (i, j))
+                if len(i):
+                    label = forest(len(ids), label[i], label[j])[label]
+                continue
+            for at in range(0, len(i), STEP):
+                u, v = i[at : at + STEP], j[at : at + STEP]
+                near = np.bitwise_count(codes[u] ^ codes[v]).sum(1, dtype=int) <= limit
+                u, v = u[near], v[near]
+                new = ~_earlier(codes, u, v, trie[u])
+                u, v = u[new], v[new]
+                if similarity is None:
+                    partner[u] = partner[v] = True
+                elif len(u):
+                    label = _verified(items, order, u, v, label, similarity)
+        if limit is not None and similarity is None:
+            return pa.RecordBatch.from_arrays([items.take(pa.array(order[partner]))], names=["item"])
         inner = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(ids[inner]), pa.array(ids[label[inner]])], names=["a", "b"])
 
@@ -223,23 +290,35 @@ def _links(budget: int, bits: int, limit: int | None):
     return run
 
 
-def _linked(entries: DataFrame, budget: int, pairs: int, bits: int = BITS, limit: int | None = None) -> DataFrame:
-    """``a, b``: links between the ids of ``entries``: ``trie, turned, id, code``, written before."""
+def _tasks(entries: DataFrame, budget: int, pairs: int, bits: int = BITS) -> DataFrame | None:
+    """``items``: for each task its entries ``task, trie, side, turned, id, code``; of ``entries`` ``trie, turned, id, code``."""
     tasks = materialised(node_pairs(entries.select("trie", "turned"), budget, pairs, bits))
-    sides = tasks.select(
-        "task", "trie", "depth", F.explode(F.array(F.struct(F.col("left").alias("node"), F.lit(0).alias("side")), F.struct(F.col("right").alias("node"), F.when(F.col("left") != F.col("right"), 1).alias("side")))).alias("s")
-    ).select("task", "trie", "depth", "s.node", "s.side").where("side is not null")
+    two = (F.col("left") != F.col("right")) | (F.col("l") != F.col("r"))
+    one_side = F.struct(F.col("left").alias("node"), F.col("l").alias("slice"), F.lit(0).alias("side"))
+    other = F.struct(F.col("right").alias("node"), F.col("r").alias("slice"), F.when(two, 1).alias("side"))
+    sides = tasks.select("task", "trie", "depth", "slices", F.explode(F.array(one_side, other)).alias("s"))
+    sides = sides.select("task", "trie", "depth", "slices", "s.*").where("side is not null")
     items = None
     for (depth,) in tasks.select("depth").distinct().orderBy("depth").collect():
-        here = sides.where(F.col("depth") == depth).select("task", "trie", "node", "side")
+        here = sides.where(F.col("depth") == depth).select("task", "trie", "node", "side", "slices", "slice")
         part = entries.withColumn("node", _prefix(F.col("turned"), F.lit(depth))).join(here, ["trie", "node"])
-        part = part.select("task", F.struct("side", "turned", "id", "code").alias("item"))
+        part = part.where(F.pmod(F.xxhash64("id"), F.col("slices")) == F.col("slice"))
+        part = part.select("task", F.struct("task", "trie", "side", "turned", "id", "code").alias("item"))
         items = part if items is None else items.unionAll(part)
     if items is None:
-        return entries.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    # A task holds at most ``pairs`` + 1 entries, by the way in which they were split.
-    grouped = items.groupBy("task").agg(F.collect_list("item").alias("items"))
-    return grouped.select("items").mapInArrow(_links(budget, bits, limit), "a long, b long")
+        return None
+    # A task holds about 2 * ``pairs`` ** 0.5 entries, or ``pairs`` + 1 against one, by the way in which they were split.
+    return items.groupBy("task").agg(F.collect_list("item").alias("items")).select("items")
+
+
+def _no_links(entries: DataFrame) -> DataFrame:
+    return entries.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+
+
+def _linked(entries: DataFrame, budget: int, pairs: int) -> DataFrame:
+    """``a, b``: links between the ids of ``entries``: ``trie, turned, id, code``, written before."""
+    tasks = _tasks(entries, budget, pairs)
+    return _no_links(entries) if tasks is None else tasks.mapInArrow(_links(budget, BITS, None), "a long, b long")
 
 
 def links(prints: DataFrame, budget: int = 4, pairs: int = PAIRS) -> DataFrame:
@@ -278,21 +357,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     )
 
 
-#: For a given similarity of shingle sets: longs of a code, bits of a band (two in a long), and by how
-#: many bits two bands may differ.
-LONGS, BAND, BAND_BUDGET = 4, 24, 2
+#: For a given similarity of shingle sets: longs of a code, and of one of fewer than ``FEW`` shingles, whose bits vary
+#: more; longs that entries carry; bits of a band (two in a long), and by how many bits two bands may differ.
+LONGS, FEW_LONGS, FEW, CARRIED, BAND, BAND_BUDGET = 8, 16, 64, 4, 24, 2
+#: Pairs whose codes look less similar than asked for by this much are not compared.
+MARGIN = 0.25
 
 
-def code(text: bytes, words: int, longs: int = LONGS) -> np.ndarray:
-    """A long fingerprint of the set of shingles: bits from ``longs`` independent hashes of each."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The hashes of the distinct shingles, sorted; none of a text without words."""
     joined = b" ".join(text.lower().split())
     if not joined:
-        return np.zeros(longs, np.uint64)
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     n = max(1, len(gaps) + 2 - words)
     starts = np.concatenate([[0], gaps[: n - 1] + 1]).tolist()
     ends = np.concatenate([gaps[words - 1 :], [len(joined)]]).tolist()
-    first = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64, n))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def code(text: bytes, words: int) -> np.ndarray:
+    """A long fingerprint of the set of shingles: bits from ``LONGS`` or more independent hashes of each."""
+    first = shingle_set(text, words)
+    longs = FEW_LONGS if len(first) < FEW else LONGS
+    if not len(first):
+        return np.zeros(longs, np.uint64)
     out = np.empty(longs, np.uint64)
     for k in range(longs):
         ones = np.zeros(BITS, np.int64)
@@ -316,34 +405,55 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """``key, component_id``: classes of texts whose sets of shingles have this Jaccard similarity or more.
 
     One fingerprint of 64 bits cannot tell 0.8 from much less, so codes of ``LONGS`` longs are used:
-    a trie for each band of ``BAND`` bits finds pairs within ``BAND_BUDGET`` bits on that band, and
-    what is within the expected difference plus a standard deviation on the whole code is linked.
-    This estimates the similarity: of pairs at exactly 0.8 about four in five are linked, at 0.9
-    nearly all, at 0.7 about one in four. Rows and keys are treated as by :func:`near_duplicates`.
+    a trie for each band of ``BAND`` bits finds pairs within ``BAND_BUDGET`` bits on that band. They
+    are candidates if their codes do not differ much more than expected; their sets of hashed
+    shingles are then compared, so that nothing below the similarity is linked. Entries without a
+    candidate are left behind before sets are read. Rows and keys are treated as by :func:`near_duplicates`.
     """
-    schema = T.StructType([docs.schema[key], T.StructField("code", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[key], T.StructField("code", T.ArrayType(T.LongType())), T.StructField("text", T.BinaryType())])
+    set_schema = "id long, set array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([code(x.as_py(), words) for x in batch.column(1)]).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, LONGS, dtype=np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "code"])
+            found = [code(x.as_py(), words).view(np.int64) for x in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(1)], names=[key, "code", "text"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py(), words).view(np.int64) for x in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "set"])
 
-    expected = difference_of(similarity)
-    bits = BITS * LONGS
-    limit = int(bits * expected + (bits * expected * (1 - expected)) ** 0.5)
+    limit = int(BITS * CARRIED * difference_of(max(0.0, similarity - MARGIN)))
     codes = materialised(docs.select(key, text_of(text).cast("binary")).mapInArrow(run, schema))
     distinct = codes.groupBy("code").agg(F.min(key).alias("least"))
     distinct = materialised(distinct.withColumn("id", F.monotonically_increasing_id()))
     tries = []
-    for band in range(2 * LONGS):
+    for half in range(2):
         # The band first, then the rest of its long, which only tells entries of one node apart.
-        value = F.get("code", F.lit(band // 2))
-        value = value if band % 2 == 0 else F.shiftleft(value, 32).bitwiseOR(F.shiftrightunsigned(value, 32))
+        value = F.col("value")
+        value = value if half == 0 else F.shiftleft(value, 32).bitwiseOR(F.shiftrightunsigned(value, 32))
         for k, (a, _) in enumerate(blocks(BAND_BUDGET, BAND)):
-            trie = band * (BAND_BUDGET + 1) + k
-            tries.append(F.struct(F.lit(trie).alias("trie"), _turned(value, a, BAND).alias("turned")))
-    entries = distinct.select("id", "code", F.explode(F.array(*tries)).alias("e")).select("e.trie", "e.turned", "id", "code")
-    named = _classes(distinct.select("id", "least"), _linked(materialised(entries), BAND_BUDGET, pairs, BAND, limit), key)
+            trie = (F.col("at") * 2 + half) * (BAND_BUDGET + 1) + k
+            tries.append(F.struct(trie.alias("trie"), _turned(value, a, BAND).alias("turned")))
+    # Made anew at each reading: written, they would take more room than the texts.
+    entries = distinct.select("id", F.slice("code", 1, CARRIED).alias("short"), F.posexplode("code").alias("at", "value"))
+    entries = entries.select("id", F.col("short").alias("code"), F.explode(F.array(*tries)).alias("e"))
+    entries = entries.select("e.trie", "e.turned", "id", "code")
+    tasks = _tasks(entries, BAND_BUDGET, pairs, BAND)
+    if tasks is None:
+        linked = _no_links(entries)
+    else:
+        item = T.StructType([T.StructField("item", tasks.schema["items"].dataType.elementType)])
+        near = materialised(tasks.mapInArrow(_links(BAND_BUDGET, BAND, limit), item).select("item.*"))
+        of = distinct.join(near.select("id").distinct(), "id", "left_semi").select("id", "code")
+        texts = codes.join(of, "code").groupBy("id").agg(F.first("text").alias("text"))
+        near = near.join(materialised(texts.select("id", "text").mapInArrow(sets, set_schema)), "id")
+        grouped = near.groupBy("task").agg(F.collect_list(F.struct("trie", "side", "turned", "id", "code", "set")).alias("items"))
+        linked = grouped.select("items").mapInArrow(_links(BAND_BUDGET, BAND, limit, similarity), "a long, b long")
+    named = _classes(distinct.select("id", "least"), linked, key)
     known = materialised(distinct.join(named, "id").select("code", "component_id"))
-    return codes.join(known, "code").select(key, "component_id")
+    return codes.select(key, "code").join(known, "code").select(key, "component_id")
