@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortframe.session import materialised, new_folder
 
+from . import audit_queries  # noqa: F401  registers its queries
 from . import chat, cover_tree, exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_counts
 from .common import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 @query(
     "op1_mix_sources",
