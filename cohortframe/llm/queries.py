@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.session import materialised, new_folder
 
-from . import audit_queries, trie_queries  # noqa: F401  they register their queries
+from . import audit_queries, search_queries, trie_queries  # noqa: F401  they register their queries
 from . import chat, cover_tree, exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, token_counts
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
