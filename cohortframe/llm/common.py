@@ -80,16 +80,16 @@ def products(a0: np.ndarray, a: np.ndarray, b0: np.ndarray, b: np.ndarray, same:
     return i[keep], j[keep]
 
 
-def lookup(rows: DataFrame, facts: DataFrame, on: list[str], share: int = 1_000) -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner", share: int = 1_000) -> DataFrame:
     """``rows`` joined with the row that ``facts`` has for their key ``on``, whatever keys are frequent.
 
     Keys with more than one in ``share`` of the rows, which are fewer than ``share``, are broadcast with their
     facts; only the others are shuffled, and none of them fills a task. Both tables are read more
-    than once: pass written ones. Rows without facts, or with a missing key, go.
+    than once: pass written ones. Rows without facts, or with a missing key, go, or stay with ``how="left"``.
     """
     counts = materialised(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
     hot = counts.where(F.col("__n") * share > total).select(*on)
-    hot_facts = F.broadcast(materialised(facts.join(F.broadcast(hot), on, "left_semi")))
-    rest = rows.join(F.broadcast(hot), on, "left_anti").join(facts, on)
+    hot_facts = F.broadcast(materialised(F.broadcast(hot).join(facts, on, how)))
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(facts, on, how)
     return rows.join(hot_facts, on).unionByName(rest)

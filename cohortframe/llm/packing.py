@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,8 @@ class TokenIds(dict):
                 ids = self[word]
             else:
                 ids = array("I", [x.id for x in self.model.tokenize(spelled(word))]).tobytes()
-        elif chunk[-1] in MARKS and chunk[:-1].isalpha():
+        elif chunk[-1] in MARKS and chunk[:-1].isalpha() and normalize("NFC", chunk[:-1].lower()).isalpha():
+            # Where lower-casing makes a combining mark of a part of a letter, the mark would join it.
             ids = self[chunk[:-1]] + self._whole(chunk[-1])
         else:
             ids = self._whole(chunk)

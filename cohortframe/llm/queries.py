@@ -61,9 +61,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_secret_scan")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    findings = secrets.scan(docs, new_folder(spark), "doc_id", first=True)
-    return secrets.digests(docs, findings, "doc_id")
+    docs, ledger = table(spark, sf_dir, "documents"), new_folder(spark)
+    secrets.update(docs, ledger, first=True)
+    return secrets.digests(docs, ledger, "doc_id")
 
 
 @query("op4_line_dedup")

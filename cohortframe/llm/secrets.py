@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.session import materialised, shuffle_partitions
 
-from .common import text_of
+from .common import lookup, text_of
 
 
 @dataclass(frozen=True)
@@ -65,38 +64,34 @@ EXTRA = (
 RULES = (*BASE, *EXTRA)
 
 _LEDGER = "blob binary, rules array<string>, found array<struct<kind:string,start:bigint,end:bigint>>"
-#: Rows of text that pass to a worker at a time while scanning.
-BATCH = 256
 #: A run adds one file to the ledger for so many shuffle partitions: its rows are short, its runs many.
 FILES = 16
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``blob, rules, found`` for each of the blobs ``blob, text``: rule versions applied, and their spans.
+    """``blob, rules, found`` for each of the blobs ``blob, text, wanted``: rule versions applied, and their spans.
 
-    Offsets count code points; the end is exclusive.
+    ``wanted`` names the rule versions that the blob has to be scanned by. Offsets count code points; the end is exclusive.
     """
     rules = tuple(rules)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    def spans_of(text: str, wanted: list[str], compiled: list[tuple[Rule, re.Pattern]]) -> list[dict]:
+        low, found = text.lower(), []
+        for rule, pattern in compiled:
+            if rule.name in wanted and (not rule.hints or any(h in low for h in rule.hints)):
+                for m in pattern.finditer(text):
+                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                        found.append({"kind": rule.kind, "start": m.start(), "end": m.end()})
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, r.compiled()) for r in rules]
-        applied = [r.name for r in rules]
         for batch in batches:
-            spans = []
-            for value in batch.column(1):
-                text, found = value.as_py(), []
-                low = text.lower()
-                for rule, pattern in compiled:
-                    if not rule.hints or any(h in low for h in rule.hints):
-                        for m in pattern.finditer(text):
-                            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                                found.append({"kind": rule.kind, "start": m.start(), "end": m.end()})
-                spans.append(found)
-            columns = [batch.column(0), pa.array([applied] * len(spans), pa.list_(pa.string())), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["blob", "rules", "found"])
-
-    return blobs.select("blob", "text").mapInArrow(run, _LEDGER)
+            spans = [spans_of(t.as_py(), w.as_py(), compiled) for t, w in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kind)], names=["blob", "rules", "found"])
+
+    return blobs.select("blob", "text", "wanted").mapInArrow(run, _LEDGER)
 
 
 def versions_of(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -104,62 +99,66 @@ def versions_of(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
     return rows.select(F.col(path).alias("path"), F.unhex(F.sha2(text_of(text), 256)).alias("blob"))
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """Whole texts are large rows: fewer of them at a time keep the workers small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def scan(rows: DataFrame, ledger: str, path: str, text: str = "text", rules: Sequence[Rule] = RULES, first: bool = False) -> DataFrame:
-    """Scan what the ledger lacks, append to it, and return ``path, kind, start, end``, a span a row.
+def update(rows: DataFrame, ledger: str, text: str = "text", rules: Sequence[Rule] = RULES, first: bool = False) -> None:
+    """Scan what the ledger lacks and append it: each blob once, by all the rule versions that it has not seen.
 
-    ``rows`` are versions: a path may occur often, and each of its contents is scanned. ``first``
-    says that the folder ``ledger`` holds nothing yet. Only pairs of blob and rule version that the
-    ledger lacks are scanned, and no blob twice. A missing path stays missing; copies of a row give
-    copies of its findings; an empty table gives none. Other columns are left out.
+    ``first`` says that the folder ``ledger`` holds nothing yet. Otherwise names of blobs are held against the
+    ledger before any text is moved; what is new is usually little.
     """
     spark = rows.sparkSession
-    named = rows.select(F.unhex(F.sha2(text_of(text), 256)).alias("blob"), text_of(text).alias("text"))
-    for group in [tuple(rules)] if first else [(r,) for r in rules]:
-        todo = named
-        if not first:
-            known = spark.read.schema(_LEDGER).parquet(ledger).where(F.array_contains("rules", group[0].name))
-            # Names first: what is new is usually little, and then no old text is shuffled.
-            new = materialised(named.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"))
-            todo = named.join(new, "blob", "left_semi")
-        scanned = scan_blobs(todo.distinct(), group).repartition(max(1, shuffle_partitions(spark) // FILES))
-        with _small_batches(spark):
-            scanned.write.mode("append").parquet(ledger)
-    found = spark.read.schema(_LEDGER).parquet(ledger).where(F.size("found") > 0)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    todo = rows.select(F.unhex(F.sha2(text_of(text), 256)).alias("blob"), text_of(text).alias("text"))
+    if first:
+        todo = todo.withColumn("wanted", names)
+    else:
+        seen = spark.read.schema(_LEDGER).parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        lacks = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("wanted")
+        new = todo.select("blob").distinct().join(seen, "blob", "left").select("blob", lacks).where(F.size("wanted") > 0)
+        todo = todo.join(materialised(new), "blob")
+    scanned = scan_blobs(todo.distinct(), rules).repartition(max(1, shuffle_partitions(spark) // FILES))
+    scanned.write.mode("append").parquet(ledger)
+
+
+def spans_of_blobs(rows: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``blob, spans``: what the ledger holds of these rule versions, each span once, by start and then by the place of its kind."""
+    found = rows.sparkSession.read.schema(_LEDGER).parquet(ledger).where(F.size("found") > 0)
     wanted = F.lit(False)
     for rule in rules:
         wanted = wanted | ((F.col("s.kind") == rule.kind) & F.array_contains("rules", rule.name))
     found = found.select("blob", "rules", F.explode("found").alias("s")).where(wanted)
-    return versions_of(rows, path, text).join(found, "blob").select("path", "s.kind", "s.start", "s.end")
+    places = {r.kind: k for k, r in reversed([*enumerate(rules)])}
+    place = F.create_map(*[F.lit(x) for item in places.items() for x in item])
+    span = F.struct("s.start", place[F.col("s.kind")].alias("k"), "s.end", "s.kind")
+    return found.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("spans"))  # the spans of one text
+
+
+def scan(rows: DataFrame, ledger: str, path: str, text: str = "text", rules: Sequence[Rule] = RULES, first: bool = False) -> DataFrame:
+    """Scan what the ledger lacks, append to it, and return ``path, kind, start, end``, a span a row.
+
+    ``rows`` are versions: a path may occur often, and each of its contents is scanned. Only pairs of
+    blob and rule version that the ledger lacks are scanned, and no blob twice. A missing path stays
+    missing; copies of a row give copies of its findings; an empty table gives none. Other columns
+    are left out.
+    """
+    update(rows, ledger, text, rules, first)
+    held = lookup(materialised(versions_of(rows, path, text)), materialised(spans_of_blobs(rows, ledger, rules)), ["blob"])
+    return held.select("path", F.explode("spans").alias("s")).select("path", "s.kind", "s.start", "s.end")
 
 
-def digests(rows: DataFrame, findings: DataFrame, key: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+def digests(rows: DataFrame, ledger: str, key: str, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per row of ``rows``: numbers of base spans, the hash of their list, and all spans.
 
-    Spans are written ``kind:start:end``, by start and then by the place of their kind in ``rules``.
+    Spans are written ``kind:start:end``, by start and then by the place of their kind in ``rules``. Each row
+    gets the spans of its own text, whatever its key: missing and shared keys make no difference.
     """
-    place = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
-    span = F.struct("start", place[F.col("kind")].alias("k"), "end", "kind")
-    listed = findings.groupBy(F.col("path").alias(key)).agg(F.array_sort(F.collect_set(span)).alias("spans"))
     written = lambda xs: F.array_join(
         F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
     )
     base = F.filter("spans", lambda s: s["k"] < len(BASE))
     number = lambda kind: F.coalesce(F.size(F.filter("spans", lambda s: s["kind"] == kind)), F.lit(0)).cast("long")
-    joined = rows.select(key).join(listed, key, "left")
-    return joined.select(
-        key,
+    held = lookup(materialised(versions_of(rows, key, text)), materialised(spans_of_blobs(rows, ledger, rules)), ["blob"], how="left")
+    return held.select(
+        F.col("path").alias(key),
         number("assign").alias("n_assign"),
         number("access").alias("n_access"),
         number("hex").alias("n_hex"),

@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     None, "", " ", "\n", "a", "The cat.", "a  b\tc.\n\nd", " x\n", "x\n", "İstanbul ΣΑΣ naïve café ﬁ ǅ K ſ", "x <|endoftext|> y<|startoftext|>z",
-    "it's don't... a.b,c 12 ½² １２", "c\x1cd \x85 e", "éa é क़ 日本語。 テスト 😀!", "end. Start, go; stop: why? yes!", "Word " * 3000,
+    "HEPSİ. İ. İ? İ! Evet, BİRİNCİSİ? NEREYE GİTTİ! Σ. ΣΑΣ, ŉ. ẞ! ǰ: e\u0301. é; İ\u0307.", "it's don't... a.b,c 12 ½² １２", "c\x1cd \x85 e", "éa é क़ 日本語。 テスト 😀!", "end. Start, go; stop: why? yes!", "Word " * 3000,
 ]
 
 
@@ -68,6 +68,16 @@ def test_pack_pieces(spark):
     assert [r[0] for r in twice] == [2]
 
 
+def test_ids_of_random_strings():
+    random = np.random.default_rng(7)
+    letters = list("aAbZéÉİiIıßẞΣσςŉǅǰﬁ日ё") + ["\u0301", "\u0307", "😀", "1", "½"] + list(".,;:!?'-_#\t\x85\xa0  \n")
+    tokenizer, encoder = Tokenizer.from_file(WORDS), packing.TokenIds(WORDS)
+    for _ in range(20_000):
+        text = "".join(random.choice(letters, size=random.integers(1, 14)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want, text
+
+
 def test_pack_query(spark):
     number, total = check_packing(QUERIES["op2_best_fit_packing"](spark, FOLDER).collect(), documents(spark), 4096)
     assert number <= -(-total // 4096) + 1

@@ -46,8 +46,9 @@ def check(got, docs):
 def test_spans(spark):
     docs = dict(enumerate(TEXTS))
     rows = spark.createDataFrame([(k, t, "clash") for k, t in docs.items()], "doc_id long, text string, blob string")
-    found = secrets.scan(rows, new_folder(spark), "doc_id", first=True)
-    got = secrets.digests(rows, found, "doc_id").collect()
+    ledger = new_folder(spark)
+    secrets.update(rows, ledger, first=True)
+    got = secrets.digests(rows, ledger, "doc_id").collect()
     check(got, docs)
     extra = next(r["spans"] for r in got if r["doc_id"] == 9)
     assert [s.split(":")[0] for s in extra.split(",")] == ["private_key", "code_host", "url_password"]
@@ -62,18 +63,33 @@ def test_ledger_scans_each_blob_and_rule_once(spark):
     assert n == {"a": len(base_spans(TEXTS[3])), "b": len(base_spans(TEXTS[3])) + len(base_spans(TEXTS[6]))} == {"a": 3, "b": 6}
     more = rows.union(spark.createDataFrame([("d", TEXTS[8])], rows.schema))
     again = secrets.scan(more, ledger, "path", rules=secrets.BASE)
-    assert spark.read.parquet(ledger).count() == 3 + 3  # one new blob, three rules
+    assert spark.read.parquet(ledger).count() == 3 + 1  # one new blob, scanned once
     assert again.where("path = 'd'").count() == len(base_spans(TEXTS[8]))
     newer = secrets.Rule("hex", 2, r"[0-9a-f]{20,}")
     found = secrets.scan(more, ledger, "path", rules=[newer])
-    assert spark.read.parquet(ledger).count() == 6 + 4  # all blobs, by the new version alone
+    assert spark.read.parquet(ledger).count() == 4 + 4  # all blobs, by the new version alone
     assert {r["kind"] for r in found.collect()} <= {"hex"}
+    mixed = secrets.scan(more.union(spark.createDataFrame([("e", TEXTS[7])], rows.schema)), ledger, "path", rules=[*secrets.BASE, newer])
+    new = spark.read.parquet(ledger).collect()
+    assert len(new) == 8 + 1 and sum(set(r["rules"]) == {"assign:1", "access:1", "hex:1", "hex:2"} for r in new) == 1
+    assert mixed.where("path = 'e' and kind = 'hex'").count() == 3
+    secrets.update(more, ledger, rules=[*secrets.BASE, newer])
+    assert spark.read.parquet(ledger).count() == 9  # nothing is new
+
+
+def test_missing_and_shared_keys(spark):
+    rows = [(None, f"token={KEY}"), (1, f"token={KEY}"), (1, "nothing here"), (None, None), (2, f"token={KEY}"), (2, f"token={KEY}")]
+    df, ledger = spark.createDataFrame(rows, "doc_id long, text string"), new_folder(spark)
+    secrets.update(df, ledger, first=True)
+    got = sorted(((r["doc_id"], r["n_assign"], r["base_sha256"]) for r in secrets.digests(df, ledger, "doc_id").collect()), key=repr)
+    assert got == sorted(((k, want(t)[0], want(t)[3]) for k, t in rows), key=repr)
 
 
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
-    found = secrets.scan(rows, new_folder(spark), "doc_id", first=True)
-    assert secrets.digests(rows, found, "doc_id").collect() == []
+    ledger = new_folder(spark)
+    assert secrets.scan(rows, ledger, "doc_id", first=True).collect() == []
+    assert secrets.digests(rows, ledger, "doc_id").collect() == []
 
 
 def test_query_against_brute_force(spark):
