@@ -23,6 +23,7 @@ from .common import text_of
 #: Words that a run needs at least to be deleted.
 MIN_WORDS = 50
 _MARK = "\u0001"
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -35,14 +36,18 @@ def lines_of(text: Column) -> Column:
 
 def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``doc, pos, x, y, words`` of the lines that occur more than once."""
-    line = F.trim("line", F.lit(" \n\r\t"))
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(lines_of(text_of(text))).alias("pos", "line"))
+    line = F.trim("line", F.lit(_BLANK))
+    # Where single blanks alone part words, they are counted without splitting.
+    odd = text_of(text).rlike(r"[\x09\x0B-\x0D]|\x20\x20").alias("odd")
+    lines = docs.select(F.col(key).alias("doc"), odd, F.posexplode(lines_of(text_of(text))).alias("pos", "line"))
+    words = F.when(F.col("odd"), F.size(F.split(line, r"[\x20\x09-\x0D]+")))
+    words = words.otherwise(1 + F.length(line) - F.length(F.replace(line, F.lit(" "))))
     lines = lines.where("line <> ''").select(  # behind the last end there is no line
         "doc",
         "pos",
         F.xxhash64(line).alias("x"),
         F.xxhash64(F.lit(1), line).alias("y"),
-        F.when(line == "", 0).otherwise(1 + F.length(line) - F.length(F.replace(line, F.lit(" ")))).alias("words"),
+        F.when(line == "", 0).otherwise(words).alias("words"),
     )
     lines = materialised(lines)
     often = lines.groupBy("x", "y").count().where("count > 1").select("x", "y")

@@ -1,9 +1,13 @@
+import itertools
 import random
+import re
 
 import pytest
 
 from cohortframe.llm import line_dedup
 
+BLANK = " \t\n\x0b\x0c\r"
+
 
 def lines_of(text):
     out, line = [], ""
@@ -16,27 +20,32 @@ def lines_of(text):
 
 
 def brute(rows, min_words):
-    """Every block of just enough words against every earlier one."""
-    seen, gone = {}, {k: set() for k, _ in rows}
-    for key, text in sorted(rows):
-        lines = lines_of(text or "")
-        ids = [x.strip() for x in lines]
-        words = [len(x.split(" ")) if x else 0 for x in ids]
-        for i in range(len(ids)):
-            if not words[i]:
-                continue
-            size, total = 0, 0
-            while i + size < len(ids) and total < min_words:
-                total += words[i + size]
-                size += 1
-            if total < min_words:
-                continue
-            block = tuple(ids[i : i + size])
-            first = seen.setdefault(block, (key, i))
-            if first != (key, i):
-                begin = max(i, first[1] + size) if first[0] == key else i
-                gone[key].update(range(begin, i + size))
-    return {k: t if t is None or not gone[k] else "".join(x for n, x in enumerate(lines_of(t)) if n not in gone[k]) for k, t in rows}
+    """Every maximal run of equal lines at two places: the later one goes, and of places that overlap what is behind one whole copy."""
+    docs = [(key, lines_of(text or "")) for key, text in sorted(rows)]
+    docs = [(key, lines[:-1] if lines[-1] == "" else lines) for key, lines in docs]
+    ids = {key: [x.strip(BLANK) for x in lines] for key, lines in docs}
+    words = {key: [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines] for key, lines in docs}
+    gone = {key: set() for key, _ in docs}
+    places = {}
+    for n, (two, _) in enumerate(docs):
+        b = ids[two]
+        for j, x in enumerate(b):
+            places.setdefault(x, []).append((n, j))
+        shifts = {(m, j - i) for j, x in enumerate(b) for m, i in places[x] if (m, i) < (n, j)}
+        for m, shift in shifts:
+            one, i = docs[m][0], max(0, -shift)
+            a, w = ids[one], words[one]
+            while i < len(a) and i + shift < len(b):
+                size = 0
+                while i + size < len(a) and i + shift + size < len(b) and a[i + size] == b[i + shift + size]:
+                    size += 1
+                upto = list(itertools.accumulate(w[i : i + size]))
+                if upto and upto[-1] >= min_words:
+                    least = 1 + next(k for k, total in enumerate(upto) if total >= min_words)
+                    gone[two].update(range(i + max(shift, least) if m == n else i + shift, i + shift + size))
+                i += size + 1
+    out = {key: "".join(x for k, x in enumerate(lines) if k not in gone[key]) for key, lines in docs}
+    return out | {key: text for key, text in rows if text is None or not gone[key]}
 
 
 def run(spark, rows, min_words):
@@ -80,3 +89,23 @@ def test_equal_rows_missing_keys_and_empty_table(spark):
     got = sorted(map(tuple, line_dedup.dedup_lines(df, min_words=4, removed="n").collect()), key=repr)
     assert got == [(1, text, 0), (1, text, 0), (2, "", 2), (None, "z " + text, 0)]
     assert line_dedup.dedup_lines(df.where("false")).collect() == []
+
+
+def test_words_are_counted_whatever_parts_them(spark):
+    tabbed, padded = "\t".join(f"w{k}" for k in range(80)) + "\n", "x" + " " * 60 + "y\n"
+    mixed = " \t ".join(f"v{k}" for k in range(30)) + " \x0b\n" + "\r\n" + "  ".join(f"u{k}" for k in range(20)) + "\r\n"
+    rows = [(1, tabbed + padded), (2, "own\n" + tabbed), (3, padded), (4, mixed + "a"), (5, "b\n" + mixed), (6, "x\ty. " * 40)]
+    want = dict(rows) | {2: "own\n", 5: "b\n", 6: "x\ty. " * 25}
+    assert run(spark, rows, 50) == brute(rows, 50) == want
+
+
+def test_query_against_brute_force(spark):
+    from cohortframe.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(rows, 50)
+    got = QUERIES["op4_line_dedup"](spark, folder).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and len(got) == len(rows)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    assert sum(r["n_removed"] > 0 for r in got) == sum(want[k] != t for k, t in rows) > 0

@@ -1,4 +1,4 @@
-"""Whole repeated runs: held against all pairs of places, without blocks."""
+"""Repeated runs go whole, ends included."""
 
 import random
 import sys
@@ -7,28 +7,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_line_dedup import lines_of, run  # noqa: E402
-
-
-def brute_runs(rows, min_words):
-    """Every maximal run of equal lines at two places that do not overlap: the later one goes."""
-    docs = [(key, lines_of(text)) for key, text in sorted(rows)]
-    docs = [(key, lines[:-1] if lines[-1] == "" else lines) for key, lines in docs]
-    gone = {key: set() for key, _ in docs}
-    for n, (one, a) in enumerate(docs):
-        for two, b in docs[n:]:
-            for shift in range(1 if one == two else 1 - len(a), len(b)):
-                i = max(0, -shift)
-                while i < len(a) and i + shift < len(b):
-                    size = words = 0
-                    while i + size < len(a) and i + shift + size < len(b) and a[i + size].strip() == b[i + shift + size].strip():
-                        words += len(a[i + size].split())
-                        size += 1
-                    if words >= min_words:
-                        assert one != two or size <= shift
-                        gone[two].update(range(i + shift, i + shift + size))
-                    i += size + 1
-    return {key: "".join(x for k, x in enumerate(lines) if k not in gone[key]) for key, lines in docs}
+from test_line_dedup import brute, run  # noqa: E402
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -46,7 +25,7 @@ def test_runs_go_whole(spark, seed):
             parts += [*r[pick.randint(0, 1) :], *([f"own {k} {pick.random()}. "] if pick.random() < 0.7 else [])]
         rows.append((k, "".join(parts)))
     rows += [(100, rows[4][1]), (101, rows[5][1] + "\n\n")]
-    assert run(spark, rows, 12) == brute_runs(rows, 12)
+    assert run(spark, rows, 12) == brute(rows, 12)
 
 
 def test_short_ends_and_whole_copies(spark):
