@@ -401,35 +401,36 @@ def difference_of(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, pairs: int = 2 * PAIRS) -> DataFrame:
-    """``key, component_id``: classes of texts whose sets of shingles have this Jaccard similarity or more.
-
-    One fingerprint of 64 bits cannot tell 0.8 from much less, so codes of ``LONGS`` longs are used:
-    a trie for each band of ``BAND`` bits finds pairs within ``BAND_BUDGET`` bits on that band. They
-    are candidates if their codes do not differ much more than expected; their sets of hashed
-    shingles are then compared, so that nothing below the similarity is linked. Entries without a
-    candidate are left behind before sets are read. Rows and keys are treated as by :func:`near_duplicates`.
-    """
-    schema = T.StructType([docs.schema[key], T.StructField("code", T.ArrayType(T.LongType())), T.StructField("text", T.BinaryType())])
-    set_schema = "id long, set array<long>"
+def _coded(docs: DataFrame, key: Column, text: str, words: int) -> DataFrame:
+    """``docs`` with ``__key`` and ``__code``, written."""
+    keyed = docs.select("*", key.alias("__key"), text_of(text).cast("binary").alias("__text"))
+    kept = [f for f in keyed.schema.fields if f.name != "__text"]
+    schema = T.StructType([*kept, T.StructField("__code", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [code(x.as_py(), words).view(np.int64) for x in batch.column(1)]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(1)], names=[key, "code", "text"])
+            *columns, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns, _lists([code(x.as_py(), words) for x in texts])], names=schema.names)
+
+    return materialised(keyed.mapInArrow(run, schema))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays)])))
+
+
+def _similar_classes(codes: DataFrame, text: str, words: int, similarity: float, pairs: int) -> DataFrame:
+    """``code, component_id`` of the table of :func:`_coded`: the smallest ``__key`` of each class, as :func:`similar` tells it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x.as_py(), words).view(np.int64) for x in batch.column(1)]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "set"])
+            found = [shingle_set(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["id", "set"])
 
     limit = int(BITS * CARRIED * difference_of(max(0.0, similarity - MARGIN)))
-    codes = materialised(docs.select(key, text_of(text).cast("binary")).mapInArrow(run, schema))
-    distinct = codes.groupBy("code").agg(F.min(key).alias("least"))
+    named = codes.select(F.col("__key").alias("key"), F.col("__code").alias("code"), text_of(text).cast("binary").alias("text"))
+    distinct = named.groupBy("code").agg(F.min("key").alias("least"))
     distinct = materialised(distinct.withColumn("id", F.monotonically_increasing_id()))
     tries = []
     for half in range(2):
@@ -450,10 +451,38 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         item = T.StructType([T.StructField("item", tasks.schema["items"].dataType.elementType)])
         near = materialised(tasks.mapInArrow(_links(BAND_BUDGET, BAND, limit), item).select("item.*"))
         of = distinct.join(near.select("id").distinct(), "id", "left_semi").select("id", "code")
-        texts = codes.join(of, "code").groupBy("id").agg(F.first("text").alias("text"))
-        near = near.join(materialised(texts.select("id", "text").mapInArrow(sets, set_schema)), "id")
+        texts = named.join(of, "code").groupBy("id").agg(F.first("text").alias("text"))
+        near = near.join(materialised(texts.select("id", "text").mapInArrow(sets, "id long, set array<long>")), "id")
         grouped = near.groupBy("task").agg(F.collect_list(F.struct("trie", "side", "turned", "id", "code", "set")).alias("items"))
         linked = grouped.select("items").mapInArrow(_links(BAND_BUDGET, BAND, limit, similarity), "a long, b long")
-    named = _classes(distinct.select("id", "least"), linked, key)
-    known = materialised(distinct.join(named, "id").select("code", "component_id"))
-    return codes.select(key, "code").join(known, "code").select(key, "component_id")
+    classes = _classes(distinct.select("id", "least"), linked, "key")
+    return materialised(distinct.join(classes, "id").select("code", "component_id"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, pairs: int = 2 * PAIRS) -> DataFrame:
+    """``key, component_id``: classes of texts whose sets of shingles have this Jaccard similarity or more.
+
+    One fingerprint of 64 bits cannot tell 0.8 from much less, so codes of ``LONGS`` longs are used:
+    a trie for each band of ``BAND`` bits finds pairs within ``BAND_BUDGET`` bits on that band. They
+    are candidates if their codes do not differ much more than expected; their sets of hashed
+    shingles are then compared, so that nothing below the similarity is linked. Entries without a
+    candidate are left behind before sets are read. Rows and keys are treated as by :func:`near_duplicates`.
+    """
+    codes = _coded(docs.select(key, text), F.col(key), text, words)
+    found = _similar_classes(codes, text, words, similarity, pairs)
+    return codes.select(key, F.col("__code").alias("code")).join(found, "code").select(key, "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, pairs: int = 2 * PAIRS) -> DataFrame:
+    """``docs`` with one row of each class of :func:`similar`, all its columns as they are.
+
+    The row with the smallest key stays, a missing key coming last; among rows that share it, one.
+    Rows are told apart by a number that each gets while the table is written, so rows without a key
+    are treated like all others, and repeated rows lose their copies. An empty table stays empty.
+    """
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"))
+    codes = _coded(docs, place, text, words)
+    found = _similar_classes(codes, text, words, similarity, pairs)
+    named = codes.select("__key", F.col("__code").alias("code")).join(found, "code")
+    kept = materialised(named.where(F.col("__key.row") == F.col("component_id.row")).select("__key.row"))
+    return codes.join(kept, F.col("__key.row") == F.col("row"), "left_semi").select(*docs.columns)

@@ -63,9 +63,9 @@ def test_near_dedup_keeps_one_of_each_group(steps):
     sets = {k: shingles(t) for k, t in before.items()}
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     kept = sorted(after)
-    assert all(alike(a, b) < 0.9 for n, a in enumerate(kept) for b in kept[n + 1 :])
+    assert all(alike(a, b) < 0.8 for n, a in enumerate(kept) for b in kept[n + 1 :])
     for k in before.keys() - after.keys():
-        assert any(alike(k, j) > 0.5 for j in before if j != k)
+        assert any(alike(k, j) >= 0.8 for j in before if j != k)
 
 
 def test_mixing_repeats_by_the_distribution(spark, steps):
@@ -111,3 +111,43 @@ def test_run_is_all_stages(spark, steps):
     assert Counter(map(tuple, got.select("doc_id", "piece", "ids_crc32").collect())) == Counter(
         map(tuple, steps[5].select("doc_id", "piece", "ids_crc32").collect())
     )
+
+
+def odd_rows(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [
+        (None, words("a", 40), "en", "s1", 5, 1), (1, words("b", 40), "en", "s1", 5, 2), (1, words("b", 40), "en", "s1", 5, 2),
+        (2, words("a", 40) + " x", "en", None, 5, 3), (None, words("c", 60), None, "s1", None, 4), (None, words("c", 60), None, "s1", None, 4),
+        (3, None, "de", "s2", None, 5), (None, "", "de", "s2", 0, 6), (4, words("d", 50) + ".\n" + words("e", 20), "fr", "s2", 1, 7),
+        (5, words("d", 50) + ".\nown", "fr", "s2", 1, 8),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, code int")
+
+
+def test_near_dedup_with_missing_ids_and_repeated_rows(spark):
+    got = pipeline.drop_near_duplicates(spark, odd_rows(spark), FOLDER)
+    assert got.columns == pipeline.COLUMNS
+    rows = got.collect()
+    # Of a pair the id that is there stays; of equal rows one; of empty texts the smallest id.
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in rows) == [(0, "c0"), (1, "b0"), (2, "a0"), (3, ""), (4, "d0"), (5, "d0")]
+
+
+def test_other_stages_with_missing_ids_and_repeated_rows(spark):
+    docs = odd_rows(spark)
+    kept = pipeline.keep_quality(spark, docs, FOLDER)
+    assert kept.columns == pipeline.COLUMNS and kept.count() <= 10
+    lines = pipeline.drop_repeated_lines(spark, docs, FOLDER)
+    texts = Counter((r["doc_id"], r["text"]) for r in lines.collect())
+    assert lines.columns == pipeline.COLUMNS and sum(texts.values()) == 10
+    assert texts[5, "own"] == 1 and texts[None, docs.collect()[0]["text"]] == 1 and texts[3, None] == 1
+    mixed = pipeline.mix_sources(spark, docs, FOLDER).collect()
+    copies = Counter((r["doc_id"], r["text"]) for r in mixed)
+    assert all(n % 2 == 0 for (k, _), n in copies.items() if k == 1)  # the two equal rows are repeated alike
+    packed = Counter(r["doc_id"] for r in pipeline.pack_sequences(spark, docs, FOLDER).collect())
+    assert packed == {None: 4, 1: 2, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_of_an_empty_table(spark, stage):
+    empty = odd_rows(spark).where("false")
+    assert pipeline.STAGES[stage][1](spark, empty, FOLDER).collect() == []
