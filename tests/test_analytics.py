@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortframe.functions import tails
-from cohortframe.operators import embed, enrich, glm, graph, markers, neighbours, pseudobulk, score
+from cohortframe.operators import embed, enrich, glm, graph, markers, metric, neighbours, pseudobulk, score
 
 
 @pytest.fixture(scope="module")
@@ -244,6 +244,49 @@ def test_neighbours_by_brute_force(spark, blocks):
         assert list(mine.distance) == pytest.approx(list(distance[want]))
 
 
+def _clustered(rng, rows, clusters=80, dim=6):
+    return rng.normal(size=(clusters, dim))[rng.integers(0, clusters, rows)] * 20 + rng.normal(size=(rows, dim))
+
+
+def test_pruned_search_looks_at_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    both = _clustered(rng, 7000)
+    q, r = both[:1000], both[1000:]
+    seen, search = [], metric.search
+
+    def counting(pairs, index, *rest):
+        seen.append(pairs.join(index.blocks, "block").agg(F.sum("n")).first()[0] + 2 * len(index.pivots) * len(q))
+        return search(pairs, index, *rest)
+
+    monkeypatch.setattr(metric, "search", counting)
+    got = neighbours.nearest(_vectors(spark, q), _vectors(spark, r, "ref_id"), 5, reference_rows=200).toPandas()
+    assert sum(seen) <= 0.1 * len(q) * len(r)
+    for i in range(0, 1000, 7):
+        distance = np.sqrt(((q[i] - r) ** 2).sum(axis=1))
+        assert list(got[got.cell_id == i].sort_values("rank").ref_id) == list(np.argsort(distance)[:5])
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_pruned_search_of_copies_rings_and_lone_rows(spark, k):
+    # A crowd of copies, one large cell to cut into rings, far rows, and more neighbours wanted than a block holds.
+    rng = np.random.default_rng(9)
+    r = np.vstack([np.zeros((60, 3)), rng.normal(size=(200, 3)).round(2), rng.normal(size=(6, 3)) * 1e4, [[0.5, 0, 0]] * 5])
+    df = _vectors(spark, r)
+    got = neighbours.nearest(df, df.withColumnRenamed("cell_id", "ref_id"), k, exclude_self=True, reference_rows=10).toPandas()
+    for i in range(0, len(r), 3):
+        distance = np.sqrt(((r[i] - r) ** 2).sum(axis=1))
+        want = sorted((j for j in range(len(r)) if j != i), key=lambda j: (distance[j], j <= i, j))[:k]
+        mine = got[got.cell_id == i].sort_values("rank")
+        assert list(mine.ref_id) == want, i
+
+
+def test_few_or_no_rows_to_search(spark):
+    df, none = _vectors(spark, np.arange(12.0).reshape(4, 3)), _vectors(spark, np.zeros((0, 3)), "ref_id")
+    assert neighbours.nearest(df, none, 2).count() == 0
+    found = neighbours.nearest(df, df.withColumnRenamed("cell_id", "ref_id"), 9, reference_rows=1)
+    assert found.count() == 16
+
+
 def test_copies_do_not_make_hubs(spark):
     matrix = np.vstack([np.ones((150, 3)), np.random.default_rng(1).normal(size=(60, 3)) + 9])
     df = _vectors(spark, matrix)
