@@ -2,8 +2,9 @@
 
 A gene is one row with its counts in all samples; Spark spreads the genes and a batch of them
 is fitted at once with numpy.  The design has tens of rows and travels with the function.  The
-dispersion has no abundance trend, so the numbers are close to, not equal to, those of the
-established packages.
+dispersion follows a trend along the abundance, and how far a gene is drawn to it is estimated from
+the scatter of its residual deviance.  The trend is smoothed in its own way, so the numbers are
+close to, not equal to, those of the established packages.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from pyspark.sql import functions as F
 from ..functions.tails import chi2_upper
 from ..session import materialised, shuffle_partitions
 from .multiple import adjust_p
+from .trend import Knots, find_knots, local_lines
 
 MAX_SAMPLES = 5_000
-# Dispersions 0.1 * 2^-10 .. 0.1 * 2^10, prior degrees of freedom and prior count
-# of the published method.
+# Dispersions 0.1 * 2^-10 .. 0.1 * 2^10, and prior counts of the published method.
 GRID = 0.1 * 2.0 ** np.linspace(-10, 10, 21)
-PRIOR_DF = 10.0
 FOLD_PRIOR = 0.125
 CPM_PRIOR = 2.0
+#: Relative change of the deviance at which a fit is at rest, and the least weight of a count in the adjustment
+#: of the likelihood: in a group of zeros the fitted mean would go on falling.
+TOLERANCE = 1e-12
+LEAST_WEIGHT = 1e-6
 
 
 @dataclass(frozen=True)
@@ -122,14 +126,14 @@ def _deviance(y: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
     return 2.0 * (own - (y + size) * np.log((y + size) / (mu + size))).sum(axis=1)
 
 
-def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, rounds: int = 50):
+def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, rounds: int = 50, start: np.ndarray | None = None):
     """Fisher scoring for all rows of ``y`` together: coefficients, means, deviances, information, converged."""
     phi = phi[:, None]
 
     def means(b):
         return np.exp(np.clip(b @ x.T + offset, -50.0, 50.0))
 
-    beta = (np.log(y + 0.5) - offset) @ np.linalg.pinv(x).T
+    beta = (np.log(y + 0.5) - offset) @ np.linalg.pinv(x).T if start is None else start
     mu = means(beta)
     deviance = _deviance(y, mu, phi)
     settled = np.zeros(len(y), bool)
@@ -147,7 +151,7 @@ def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, roun
                 break
             scale[worse] *= 0.5
         trial[worse], moved[worse], now[worse] = beta[worse], mu[worse], deviance[worse]
-        settled = np.abs(deviance - now) < 1e-8 * (1.0 + np.abs(now))
+        settled = np.abs(deviance - now) < TOLERANCE * (1.0 + np.abs(now))
         beta, mu, deviance = trial, moved, now
         if settled.all():
             break
@@ -156,12 +160,16 @@ def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, roun
     return beta, mu, deviance, information, settled
 
 
-def _profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Adjusted profile likelihood of every gene at every dispersion of the grid."""
-    curve = np.empty((len(y), len(grid)))
+def _profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjusted profile likelihood of every gene at every dispersion of the grid, and whether all its fits converged."""
+    curve, settled, beta = np.empty((len(y), len(grid))), np.ones(len(y), bool), None
     for i, value in enumerate(grid):
         phi = np.full(len(y), value)
-        _, mu, _, information, _ = _fit(y, x, offset, phi)
+        # The fit at the dispersion before is near.
+        beta, mu, _, _, done = _fit(y, x, offset, phi, start=beta)
+        settled &= done
+        weight = np.maximum(mu / (1.0 + value * mu), LEAST_WEIGHT)
+        information = np.einsum("gs,sp,sq->gpq", weight, x, x, optimize=True)
         size = 1.0 / value
         likelihood = (
             _log_gamma(y + size)
@@ -171,62 +179,165 @@ def _profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray)
             + y * np.log(mu / (size + mu))
         ).sum(axis=1)
         curve[:, i] = likelihood - 0.5 * np.linalg.slogdet(information)[1]
-    return curve
+    return curve, settled
 
 
-def estimate_dispersion(
+def _digamma(x: float) -> float:
+    shift = 0.0
+    while x < 8.0:
+        shift, x = shift - 1.0 / x, x + 1.0
+    inverse = 1.0 / (x * x)
+    return shift + np.log(x) - 0.5 / x - inverse * (1 / 12 - inverse * (1 / 120 - inverse / 252))
+
+
+def _trigamma(x: float) -> float:
+    shift = 0.0
+    while x < 8.0:
+        shift, x = shift + 1.0 / (x * x), x + 1.0
+    inverse = 1.0 / (x * x)
+    return shift + 1.0 / x + 0.5 * inverse + inverse / x * (1 / 6 - inverse * (1 / 30 - inverse / 42))
+
+
+def _trigamma_inverse(value: float) -> float:
+    """By bisection on the logarithm: the function falls from infinity to 0."""
+    low, high = -20.0, 20.0
+    for _ in range(80):
+        middle = 0.5 * (low + high)
+        low, high = (middle, high) if _trigamma(float(np.exp(middle))) > value else (low, middle)
+    return float(np.exp(0.5 * (low + high)))
+
+
+def _peaks(curves: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log2 of the dispersion at which each curve is highest, interpolated by a parabola, and the grid point below it."""
+    at = curves.argmax(axis=1)
+    row, inner = np.arange(len(at)), (at > 0) & (at < len(grid) - 1)
+    left, top, right = (curves[row, np.clip(at + k, 0, len(grid) - 1)] for k in (-1, 0, 1))
+    bend = 2.0 * (left - 2.0 * top + right)
+    shift = np.where(inner & (bend < 0), (left - right) / np.where(bend < 0, bend, -1.0), 0.0)
+    return np.log2(grid[at]) + shift * np.log2(grid[1] / grid[0]), at
+
+
+def profile_curves(
     pb: DataFrame,
     factors: DataFrame,
     design: Design,
     *,
-    prior_df: float = PRIOR_DF,
+    grid: Sequence[float] = tuple(GRID),
     sample: str = "sample",
     gene: str = "gene",
     count: str = "count",
 ) -> DataFrame:
-    """Per gene: ``common`` and shrunken ``dispersion``, and whether it lies ``at_bound``.
+    """Per gene: its counts ``y``, ``level`` (mean log2 counts per million), and ``curve``.
 
-    The grid spans six decades; a maximum at one of its ends says that the data favour a
-    dispersion beyond it, and is marked.
-
-    The likelihood of a gene over a grid of dispersions is added to the average curve of all
-    genes, weighted by ``prior_df`` over the residual degrees of freedom; the maximum is
-    interpolated between grid points.
+    ``curve`` is the adjusted profile likelihood at each dispersion of the grid; ``converged`` says whether all
+    the fits behind it came to rest.
     """
-    x, offset = design.matrix, np.log(_effective_sizes(factors, design, sample))
-    grid = GRID
+    sizes, x, grid = _effective_sizes(factors, design, sample), design.matrix, np.array(grid, float)
+    offset, prior = np.log(sizes), CPM_PRIOR * sizes / sizes.mean()
 
     def curves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                values = _profile(np.vstack(frame["y"].to_numpy()), x, offset, grid)
-                yield pd.DataFrame({gene: frame[gene].to_numpy(), "curve": list(values)})
+                y = np.vstack(frame["y"].to_numpy())
+                values, settled = _profile(y, x, offset, grid)
+                level = np.log2(((y + prior) / (sizes + 2.0 * prior) * 1e6).mean(axis=1))
+                columns = {"level": level, "curve": list(values), "converged": settled}
+                yield pd.DataFrame({gene: frame[gene].to_numpy(), "y": list(y), **columns})
 
     rows = _gene_rows(pb, design, sample, gene, count)
     id_type = rows.schema[gene].dataType.simpleString()
-    own = materialised(rows.mapInPandas(curves, f"{gene} {id_type}, curve ARRAY<DOUBLE>"))
-    points = [F.avg(F.get("curve", F.lit(i))) for i in range(len(grid))]
-    shared = own.agg(F.array(*points).alias("c")).scalar()
+    return rows.mapInPandas(curves, f"{gene} {id_type}, y ARRAY<DOUBLE>, level DOUBLE, curve ARRAY<DOUBLE>, converged BOOLEAN")
+
+
+def _prior_df(own: DataFrame, x: np.ndarray, offset: np.ndarray, knots: Knots, trend: np.ndarray) -> float:
+    """Prior degrees of freedom from the scatter of the residual deviances about their own trend.
+
+    Deviances at the trended dispersion, over the residual degrees of freedom, scatter like variances: their
+    logarithms as much as chance has it, and beyond that as much as genes differ. No more than
+    chance: infinite.
+    """
     residual = max(1, x.shape[0] - x.shape[1])
-    weight = F.lit(prior_df / residual)
-    low, step = float(np.log2(grid[0])), float(np.log2(grid[1] / grid[0]))
 
-    def peak(curve):
-        at = F.array_position(curve, F.array_max(curve)).cast("int") - 1
-        left, top, right = F.get(curve, at - 1), F.get(curve, at), F.get(curve, at + 1)
-        bend = F.try_divide(left - right, 2.0 * (left - 2.0 * top + right))
-        return F.pow(F.lit(2.0), F.lit(low) + F.lit(step) * (at + F.coalesce(bend, F.lit(0.0))))
+    def logs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                y = np.vstack(frame["y"].to_numpy())
+                phi = 2.0 ** knots.between(frame["level"].to_numpy(), trend)
+                _, _, deviance, _, settled = _fit(y, x, offset, phi)
+                value = np.log(np.maximum(deviance / residual, 1e-5)) - _digamma(residual / 2.0) + np.log(residual / 2.0)
+                yield pd.DataFrame({"level": frame["level"].to_numpy(), "e": value})[settled]
 
-    mixed = own.withColumn("__shared", shared).withColumn(
-        "__mixed", F.zip_with("curve", "__shared", lambda a, b: a + weight * b)
-    )
-    at = F.array_position("__mixed", F.array_max("__mixed"))
-    return mixed.select(
-        gene,
-        peak(F.col("__shared")).alias("common"),
-        peak(F.col("__mixed")).alias("dispersion"),
-        ((at == 1) | (at == len(grid))).alias("at_bound"),
-    )
+    scatter = materialised(own.where("converged").select("y", "level").mapInPandas(logs, "level DOUBLE, e DOUBLE"))
+    middle = local_lines(scatter, "level", "e", knots)[:, 0]
+
+    def squares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                gone = frame["e"].to_numpy() - knots.between(frame["level"].to_numpy(), middle)
+                yield pd.DataFrame({"n": [len(gone)], "s": [float(gone @ gone)]})
+
+    found = scatter.mapInPandas(squares, "n LONG, s DOUBLE").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    if not found["n"]:
+        return float("inf")
+    beyond = found["s"] / found["n"] - _trigamma(residual / 2.0)
+    return 2.0 * _trigamma_inverse(beyond) if beyond > 0 else float("inf")
+
+
+def estimate_dispersion(
+    pb: DataFrame,
+    factors: DataFrame,
+    design: Design,
+    *,
+    prior_df: float | None = None,
+    grid: Sequence[float] = tuple(GRID),
+    sample: str = "sample",
+    gene: str = "gene",
+    count: str = "count",
+) -> DataFrame:
+    """Per gene: ``common``, ``trended`` and own ``dispersion``, ``prior_df``, ``at_bound`` and ``converged``.
+
+    The likelihood curves of the genes are averaged, over all for ``common`` and by local lines along the
+    abundance for ``trended``. The curve of a gene is added to that of its abundance, weighted by ``prior_df`` over
+    the residual degrees of freedom, and its maximum is interpolated between grid points. ``prior_df`` is
+    estimated from the residual deviances unless given; infinite, every gene has the trended value.
+
+    The grid spans six decades; a maximum at one of its ends says that the data favour a
+    dispersion beyond it, and is marked. Curves whose fits have not ``converged`` do not count in the
+    averages. Collected: a few numbers for each knot of the trend.
+    """
+    grid = np.array(grid, float)
+    x, offset = design.matrix, np.log(_effective_sizes(factors, design, sample))
+    own = materialised(profile_curves(pb, factors, design, grid=grid, sample=sample, gene=gene, count=count))
+    good = own.where("converged")
+    knots = find_knots(good, "level")
+    whole = Knots(np.zeros(1), np.full(1, np.inf))
+    shared = local_lines(good, "level", "curve", knots)
+    if shared.shape[1] != len(grid):  # no gene at all
+        shared = np.zeros((len(knots.at), len(grid)))
+    # Rows count alike here, so the mean is what a flat line gives.
+    overall = good.select(F.lit(0.0).alias("x"), "curve")
+    common = float(2.0 ** _peaks(local_lines(overall, "x", "curve", whole), grid)[0][0]) if not good.isEmpty() else float("nan")
+    trend = _peaks(shared, grid)[0]
+    if prior_df is None:
+        prior_df = _prior_df(own, x, offset, knots, trend)
+    weight = prior_df / max(1, x.shape[0] - x.shape[1])
+
+    def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                level = frame["level"].to_numpy()
+                local = knots.between(level, shared)
+                if np.isfinite(weight):
+                    peak, at = _peaks(np.vstack(frame["curve"].to_numpy()) + weight * local, grid)
+                else:
+                    peak, at = _peaks(local, grid)
+                columns = {"common": common, "trended": 2.0 ** knots.between(level, trend), "dispersion": 2.0**peak, "prior_df": prior_df}
+                columns |= {"at_bound": (at == 0) | (at == len(grid) - 1), "converged": frame["converged"].to_numpy()}
+                yield pd.DataFrame({gene: frame[gene].to_numpy(), **columns})
+
+    id_type = own.schema[gene].dataType.simpleString()
+    schema = f"{gene} {id_type}, common DOUBLE, trended DOUBLE, dispersion DOUBLE, prior_df DOUBLE, at_bound BOOLEAN, converged BOOLEAN"
+    return own.select(gene, "level", "curve", "converged").mapInPandas(estimate, schema)
 
 
 def pseudobulk_de(

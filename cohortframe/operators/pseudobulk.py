@@ -66,7 +66,8 @@ def filter_by_expr(
     samples as the smallest group has (fewer for groups above ``large_n``), and
     ``min_total_count`` in all.  Library sizes must be taken anew from the result.
     """
-    libs = library_sizes(pb, sample, count)
+    pb = materialised(pb)  # read for the libraries, their median, the counts and the result
+    libs = materialised(library_sizes(pb, sample, count))
     if group is None:
         sizes = libs.agg(F.count(F.lit(1)).cast("double").alias("m"))
     else:

@@ -723,6 +723,38 @@ def _(t: Tables):
     return glm.estimate_dispersion(bulk, pseudobulk.tmm_factors(bulk), design)
 
 
+_CURVE_POINTS = (3, 10, 15)
+
+
+@query(
+    "S8_profile_curve",
+    f"""WITH RECURSIVE {_LIBS}, g AS (SELECT DISTINCT gene FROM b),
+        y AS (SELECT gene, n_regionkey AS grp, list(coalesce(count, 0) ORDER BY l.sample) AS y, list(lib_size ORDER BY l.sample) AS lib
+              FROM g CROSS JOIN l JOIN nation ON n_name = l.sample LEFT JOIN b USING (gene, sample) GROUP BY ALL),
+        fit AS (
+            SELECT gene, grp, phi, y, lib, 0 AS k, (list_sum(y) + 0.5) / list_sum(lib) AS rate
+            FROM y, (SELECT 0.1 * pow(2.0, unnest({[i - 10 for i in _CURVE_POINTS]})) AS phi)
+            UNION ALL
+            SELECT gene, grp, phi, y, lib, k + 1, rate * exp(
+                list_sum(list_transform(list_zip(y, lib), lambda p: (p[1] - rate * p[2]) / (1 + phi * rate * p[2])))
+                / list_sum(list_transform(lib, lambda v: rate * v / (1 + phi * rate * v)))) FROM fit WHERE k < 25),
+        d AS (SELECT gene, phi,
+                  list_sum(list_transform(list_zip(y, lib), lambda p: lgamma(p[1] + 1 / phi) - lgamma(1 / phi) - lgamma(p[1] + 1)
+                      - ln(1 + phi * rate * p[2]) / phi + p[1] * (ln(phi * rate * p[2]) - ln(1 + phi * rate * p[2]))))
+                  - 0.5 * ln(list_sum(list_transform(lib, lambda v: greatest(rate * v / (1 + phi * rate * v), 1e-6)))) AS part
+              FROM fit WHERE k = 25)
+        SELECT gene, round(phi, 9) AS phi, round(sum(part), 3) AS likelihood FROM d GROUP BY gene, phi""",
+)
+def _(t: Tables):
+    bulk = materialised(nation_bulk(t))
+    libraries = pseudobulk.library_sizes(bulk).withColumn("norm_factor", F.lit(1.0))
+    design = glm.design_matrix(nation_samples(t), {"group": "0"})
+    grid = [float(glm.GRID[i]) for i in _CURVE_POINTS]
+    curves = glm.profile_curves(bulk, libraries, design, grid=grid)
+    points = F.arrays_zip(F.array(*[F.lit(round(x, 9)) for x in grid]).alias("phi"), F.col("curve").alias("v"))
+    return curves.select("gene", F.explode(points).alias("p")).select("gene", "p.phi", r("p.v", 3).alias("likelihood"))
+
+
 @query("S9_S10_paired_de")
 def _(t: Tables):
     bulk, samples = _status_bulk(t)

@@ -217,6 +217,65 @@ def test_simulated_effects_are_found(spark):
     assert y[true].log_fc.mean() == pytest.approx(math.log2(3), abs=0.25)
 
 
+def _simulated(rng, genes, samples, phi_of, scatter=None):
+    base = np.exp(rng.uniform(np.log(20), np.log(5000), genes))
+    phi = phi_of(base) * (rng.chisquare(scatter, genes) / scatter if scatter else 1.0)
+    library = rng.uniform(0.7, 1.4, samples)
+    mu = base[:, None] * library
+    return base, phi, rng.negative_binomial(1 / phi[:, None], 1 / (1 + phi[:, None] * mu))
+
+
+def _two_groups(spark, samples):
+    rows = [(f"s{k:02d}", "ab"[k % 2]) for k in range(samples)]
+    return [r[0] for r in rows], glm.design_matrix(spark.createDataFrame(rows, "sample STRING, group STRING"), {"group": None})
+
+
+def test_dispersion_follows_a_trend(spark):
+    samples, design = _two_groups(spark, 10)
+    base, phi, counts = _simulated(np.random.default_rng(11), 1500, 10, lambda m: 0.03 + 4.0 / m)
+    bulk = _bulk(spark, counts, samples)
+    got = glm.estimate_dispersion(bulk, pseudobulk.tmm_factors(bulk), design).toPandas().sort_values("gene")
+    assert len(got) == 1500 and got.converged.mean() > 0.99
+    ratio = got.trended.to_numpy() / phi
+    assert (np.abs(np.log(ratio)) < np.log(1.5)).mean() > 0.99
+    # All genes follow the trend, so that it is trusted far.
+    assert got.prior_df.iloc[0] > 30
+    assert np.median(np.abs(np.log(got.dispersion / phi))) < 0.15
+
+
+def test_prior_follows_the_scatter_of_genes(spark):
+    samples, design = _two_groups(spark, 12)
+    found = []
+    for scatter in (4, 30):
+        _, _, counts = _simulated(np.random.default_rng(12), 1200, 12, lambda m: 0.1 + 0 * m, scatter)
+        bulk = _bulk(spark, counts, samples)
+        found.append(glm.estimate_dispersion(bulk, pseudobulk.tmm_factors(bulk), design).first().prior_df)
+    assert 1.5 < found[0] < 12 < found[1]
+
+
+def test_curves_that_do_not_converge_are_left_out(spark, monkeypatch):
+    samples, design = _two_groups(spark, 6)
+    _, _, counts = _simulated(np.random.default_rng(13), 60, 6, lambda m: 0.1 + 0 * m)
+    bulk, profile = _bulk(spark, counts, samples), glm._profile
+    factors = pseudobulk.tmm_factors(bulk)
+    curves = glm.profile_curves(bulk, factors, design).toPandas()
+    assert curves.converged.all()
+    # By hand: the largest gene's curve is spoilt and marked.
+    worst = curves.gene[curves.level.idxmax()]
+    spoilt = spark.createDataFrame(curves.assign(converged=curves.gene != worst, curve=[[1e6 * v for v in c] if g == worst else c for g, c in zip(curves.gene, curves.curve)]))
+    monkeypatch.setattr(glm, "profile_curves", lambda *a, **k: spoilt)
+    got = glm.estimate_dispersion(bulk, factors, design, prior_df=5.0).toPandas().set_index("gene")
+    assert not got.converged[worst] and got.converged.sum() == 59
+    assert 0.03 < got.common.iloc[0] < 0.3 and (got.trended < 1).all()
+    assert profile is glm._profile
+
+
+def test_digamma_and_its_kin():
+    assert glm._digamma(1.0) == pytest.approx(-0.5772156649015329) and glm._trigamma(1.0) == pytest.approx(math.pi**2 / 6)
+    assert glm._trigamma_inverse(glm._trigamma(3.7)) == pytest.approx(3.7)
+    assert glm._trigamma_inverse(glm._trigamma(250.0)) == pytest.approx(250.0)
+
+
 def test_design_rejects_confounding(spark):
     table = spark.createDataFrame([("a", "p", "x"), ("b", "q", "y")], "sample STRING, patient STRING, group STRING")
     with pytest.raises(ValueError, match="told apart"):
