@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_upper, rank_sum_exact, t_upper
-from ..session import materialised
 from .keyed import join_groups
 from .multiple import adjust_p
-from .scan import BLOCK_ROWS, accumulate, with_position
+from .ranksums import rank_sums
+from .scan import BLOCK_ROWS, with_position
 
 
 def _group_sizes(cells: DataFrame, strata: Sequence[str], group: str) -> DataFrame:
@@ -118,75 +118,6 @@ def marker_ttest(
     return tested.withColumn("p_value", F.when(F.col("t").isNotNull() & F.col("df").isNotNull(), t_upper("t", "df")))
 
 
-def rank_sums(
-    counts: DataFrame,
-    keys: Sequence[str],
-    group: str,
-    value: str,
-    *,
-    shift: float = 0.0,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """U statistic and tie sum of every ordered pair of groups, from a histogram.
-
-    ``counts`` has ``keys, group, value, n``.  ``u`` counts the pairs in which a value of
-    ``group`` exceeds a value of ``other`` by more than ``shift``, equality counting half.
-    Every histogram row meets the other groups, not their cells: the values of ``other`` are
-    accumulated along the value axis and read off at the values of ``group``.
-    """
-    keys = list(keys)
-    # Read four times below, so it is computed once.
-    counts = materialised(counts)
-    spot = [*keys, "__other", "__at"]
-    x = F.col(value).cast("double")
-    groups = counts.groupBy(*keys).agg(F.collect_set(group).alias("__groups"))
-    seen = join_groups(counts, groups, keys) if keys else counts.withColumn("__groups", groups.scalar())
-    asking = (
-        seen.withColumn("__other", F.explode("__groups"))
-        .filter(F.col("__other") != F.col(group))
-        .select(
-            *keys,
-            "__other",
-            x.alias("__at"),
-            F.struct(F.col(group).alias("g"), F.col("n").alias("n")).alias("__ask"),
-            F.lit(0).cast("bigint").alias("__n"),
-        )
-    )
-    answering = counts.select(
-        *keys,
-        F.col(group).alias("__other"),
-        (x + F.lit(float(shift))).alias("__at"),
-        F.lit(None).cast(asking.schema["__ask"].dataType).alias("__ask"),
-        F.col("n").alias("__n"),
-    )
-    # At most one entry per group at a spot.
-    spots = asking.unionByName(answering).groupBy(*spot).agg(
-        F.sum("__n").alias("__n"), F.collect_list("__ask").alias("__asks")
-    )
-    passed = accumulate(
-        spots, [*keys, "__other"], F.col("__at"), {"__upto": ("sum", F.col("__n"))}, block_rows=block_rows
-    )
-    mine, theirs = F.col("__a.n").cast("double"), F.col("__n").cast("double")
-
-    def ties(t):
-        return t * t * t - t
-
-    sums = (
-        passed.withColumn("__a", F.explode("__asks"))
-        .groupBy(*keys, F.col("__a.g").alias(group), F.col("__other").alias("other"))
-        .agg(
-            F.sum(mine * (F.col("__upto") - theirs / 2.0)).alias("u"),
-            F.sum(F.col("__a.n")).alias("n"),
-            F.sum(ties(mine + theirs) - ties(theirs)).alias("__ties"),
-        )
-    )
-    others = counts.groupBy(*keys, F.col(group).alias("other")).agg(
-        F.sum("n").alias("n_other"), F.sum(ties(F.col("n").cast("double"))).alias("__own")
-    )
-    both = join_groups(sums, others, [*keys, "other"])
-    return both.select(*keys, group, "other", "n", "n_other", "u", (F.col("__ties") + F.col("__own")).alias("tie_sum"))
-
-
 def _z_parts(df: DataFrame) -> tuple:
     n, m = F.col("n").cast("double"), F.col("n_other").cast("double")
     size = n + m

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortframe.functions import tails
-from cohortframe.operators import embed, enrich, glm, graph, markers, metric, neighbours, pseudobulk, score
+from cohortframe.operators import embed, enrich, glm, graph, markers, metric, neighbours, pseudobulk, ranksums, score
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,41 @@ def test_two_groups_combine_to_themselves(cohort):
         assert combined[(row.label, row.gene)].p_value == pytest.approx(row.p_value)
 
 
+@pytest.mark.parametrize("shift, block_rows, batch", [(0.0, 10**6, 10_000), (0.0, 20, 3), (0.5, 15, 7), (0.5, 10**6, 1)])
+def test_rank_sums_of_all_pairs(spark, shift, block_rows, batch):
+    rng = np.random.default_rng(6)
+    rows = [(k, g, float(v), int(n)) for k in ["a", None, "c"] for g in range(6) for v, n in zip(rng.choice(40, 12, replace=False) / 4, rng.integers(1, 5, 12))]
+    rows += [("d", 1, 0.0, 3), ("e", 2, 1.0, 10**4), ("e", 3, 1.0, 10**4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "key STRING, g INT, v DOUBLE, n BIGINT")
+        ranked = ranksums.rank_sums(df, ["key"], "g", "v", shift=shift, block_rows=block_rows)
+        got = {(r.key, r.g, r.other): tuple(r[3:]) for r in ranked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k in {r[0] for r in rows}:
+        held = {g: [(v, n) for kk, gg, v, n in rows if kk == k and gg == g] for g in {r[1] for r in rows if r[0] == k}}
+        for a in held:
+            for b in held:
+                if a != b:
+                    u = sum(n * m * ((x > y + shift) + (x == y + shift) / 2) for x, n in held[a] for y, m in held[b])
+                    ties = {}
+                    for x, n in [*held[a], *((y + shift, m) for y, m in held[b])]:
+                        ties[x] = ties.get(x, 0) + n
+                    want[k, a, b] = (sum(n for _, n in held[a]), sum(n for _, n in held[b]), u, float(sum(t**3 - t for t in ties.values())))
+    assert got == want
+
+
+def test_histogram_is_not_copied_per_group(spark):
+    rows = [("k", g, float(v), 1) for g in range(12) for v in range(30)]
+    df = spark.createDataFrame(rows, "key STRING, g INT, v DOUBLE, n BIGINT")
+    ranked = ranksums.rank_sums(df, ["key"], "g", "v")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Relation") == 1
+    assert ranked.count() == 12 * 11
+
+
 def test_pairwise_ranksum_rules(spark):
     rows = [("f", "a", 1.0), ("f", "a", 2.0), ("f", "a", 3.5), ("f", "b", 4.0), ("f", "b", 5.0), ("f", "b", 6.0), ("f", "b", 7.0)]
     rows += [("f", "lonely", 9.0), ("f", "b", None), ("t", "a", 1.0), ("t", "a", 2.0), ("t", "b", 2.0), ("t", "b", 3.0)]
