@@ -39,7 +39,9 @@ def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
     line = F.trim("line", F.lit(_BLANK))
     # Where single blanks alone part words, they are counted without splitting.
     odd = text_of(text).rlike(r"[\x09\x0B-\x0D]|\x20\x20").alias("odd")
-    lines = docs.select(F.col(key).alias("doc"), odd, F.posexplode(lines_of(text_of(text))).alias("pos", "line"))
+    # Two steps: beside a generator the pattern would run over the whole text for each of its lines.
+    cut = docs.select(F.col(key).alias("doc"), odd, lines_of(text_of(text)).alias("lines"))
+    lines = cut.select("doc", "odd", F.posexplode("lines").alias("pos", "line"))
     words = F.when(F.col("odd"), F.size(F.split(line, r"[\x20\x09-\x0D]+")))
     words = words.otherwise(1 + F.length(line) - F.length(F.replace(line, F.lit(" "))))
     lines = lines.where("line <> ''").select(  # behind the last end there is no line
