@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from ..session import materialised
 from .joins import complete_levels
 from .keyed import join_groups
 from .scan import quantiles_of_counts
+from .trend import Knots, find_knots, local_lines
 
 # The published defaults of the expression filter.
 MIN_COUNT = 10.0
@@ -231,3 +233,29 @@ def variance_residuals(variances: DataFrame, *, gene: str = "gene", bins: int =
     return join_groups(binned, trend, ["bin"]).select(
         gene, "mean", "variance", "bin", (F.col("__y") - F.col("__trend")).alias("residual")
     )
+
+
+def trended_residuals(variances: DataFrame, *, gene: str = "gene", knots: Knots | None = None) -> DataFrame:
+    """Log variance minus its trend: lines fitted locally along the log mean, see :mod:`.trend`.
+
+    ``gene, mean, variance, trend, residual`` of the genes with a positive mean and variance; ``trend`` is that of the
+    log variance. ``knots`` are found from the data unless given.
+    """
+    positive = variances.filter((F.col("mean") > 0) & (F.col("variance") > 0)).select(gene, "mean", "variance")
+    logs = materialised(positive.withColumns({"x": F.log("mean"), "y": F.log("variance")}))
+    knots = find_knots(logs, "x") if knots is None else knots
+    middle = local_lines(logs, "x", "y", knots)[:, 0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["trend"] = knots.between(frame["x"].to_numpy(), middle)
+            frame["residual"] = frame["y"] - frame["trend"]
+            yield frame[[gene, "mean", "variance", "trend", "residual"]]
+
+    id_type = logs.schema[gene].dataType.simpleString()
+    return logs.mapInPandas(run, f"{gene} {id_type}, mean DOUBLE, variance DOUBLE, trend DOUBLE, residual DOUBLE")
+
+
+def top_by_residual(variances: DataFrame, k: int, *, gene: str = "gene") -> DataFrame:
+    """The ``k`` genes that vary most beyond the trend, ties in name order."""
+    return trended_residuals(variances, gene=gene).orderBy(F.desc("residual"), gene).limit(k)

@@ -135,15 +135,22 @@ def mad_flag(
     scale: float = 1.4826,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add median, scaled MAD and ``qc`` = Fail above ``median + threshold * MAD``."""
-    medians = exact_quantiles(df, by, value, {"median": 0.5}, block_rows=block_rows).drop("n")
-    centred = join_groups(df, medians, by).withColumn("__dev", F.abs(F.col(value) - F.col("median")))
-    mads = exact_quantiles(centred, by, "__dev", {"mad": 0.5}, block_rows=block_rows).drop("n")
-    scaled = join_groups(centred, mads.withColumn("mad", F.lit(scale) * F.col("mad")), by)
+    """Add median, scaled MAD and ``qc`` = Fail above ``median + threshold * MAD``.
+
+    Both come from one histogram of the values: shifted by the median it is that of the deviations.
+    ``df`` is read once for it and once for the result.
+    """
+    counts = materialised(value_counts(df, by, value))
+    medians = materialised(quantiles_of_counts(counts, by, value, {"median": 0.5}, block_rows=block_rows).drop("n"))
+    centred = join_groups(counts, medians, by).withColumn("__dev", F.abs(F.col(value) - F.col("median")))
+    away = materialised(centred.groupBy(*by, "__dev").agg(F.sum("n").alias("n")))
+    mads = quantiles_of_counts(away, by, "__dev", {"mad": 0.5}, block_rows=block_rows).drop("n")
+    cuts = join_groups(medians, mads.withColumn("mad", F.lit(scale) * F.col("mad")), by)
+    scaled = join_groups(df, cuts, by)
     limit = F.col("median") + F.lit(threshold) * F.col("mad")
     return scaled.withColumn(
         "qc", F.when(F.col(value).isNull(), None).when(F.col(value) > limit, "Fail").otherwise("Pass")
-    ).drop("__dev")
+    )
 
 
 def zscore_within(df: DataFrame, value: str, by: Sequence[str], name: str = "z_score") -> DataFrame:

@@ -6,10 +6,10 @@ the gene, the nation the sample.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cohortframe.operators import embed, enrich, glm, graph, markers, multiple, neighbours, pseudobulk, score, tidy
-
+from cohortframe.operators import embed, enrich, glm, graph, markers, multiple, neighbours, pseudobulk, score, tidy, trend
 from cohortframe.session import materialised
 
 from .registry import Tables, query, r
@@ -550,6 +550,39 @@ def _(t: Tables):
     return final.withColumns({"proba": r("proba"), "final_proba": r("final_proba")})
 
 
+_PART_LOGS = """e AS (SELECT l_partkey AS gene, l_orderkey AS cell, sum(l_quantity) AS x FROM lineitem GROUP BY ALL),
+            n AS (SELECT count(*) AS n FROM orders),
+            v AS (SELECT gene, sum(x) / n AS mean, (sum(x * x) - sum(x) * sum(x) / n) / (n - 1) AS variance FROM e, n GROUP BY gene, n),
+            l AS (SELECT *, ln(mean) AS lx, ln(variance) AS ly FROM v), ends AS (SELECT min(lx) AS lo, max(lx) AS hi FROM l)"""
+
+
+@query(
+    "T4_trended_residuals",
+    f"""WITH {_PART_LOGS},
+            k AS (SELECT i, lo + (hi - lo) * i / 4.0 AS place, (hi - lo) / 2.0 AS width FROM ends, range(5) AS x(i)),
+            w AS (SELECT i, place, lx - place AS d, ly, pow(greatest(1 - pow(abs(lx - place) / width, 3), 0), 3) AS w FROM l, k),
+            m AS (SELECT i, place, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * ly) AS t0, sum(w * d * ly) AS t1
+                  FROM w GROUP BY ALL),
+            f AS (SELECT i, place, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS f FROM m),
+            p AS (SELECT l.*, least(floor(4 * (lx - lo) / (hi - lo)), 3) AS i FROM l, ends),
+            r AS (SELECT p.*, a.f + (b.f - a.f) * (lx - a.place) / (b.place - a.place) AS trend
+                  FROM p JOIN f a ON a.i = p.i JOIN f b ON b.i = p.i + 1)
+        SELECT gene, round(mean, 8) AS mean, round(variance, 8) AS variance, round(trend, 6) AS trend, round(ly - trend, 6) AS residual
+        FROM r""",
+)
+def _(t: Tables):
+    expr = t.lineitem.groupBy(F.col("l_partkey").alias("gene"), F.col("l_orderkey").alias("cell_id")).agg(
+        F.sum("l_quantity").alias("logcount")
+    )
+    n = t.orders.agg(F.count(F.lit(1)).alias("n")).scalar()
+    variances = materialised(pseudobulk.gene_variances(expr, n))
+    low, high = variances.agg(F.min(F.log("mean")), F.max(F.log("mean"))).first()
+    knots = trend.Knots(np.linspace(low, high, 5), np.full(5, (high - low) / 2.0))
+    residuals = pseudobulk.trended_residuals(variances, knots=knots)
+    rounded = {"mean": r("mean", 8), "variance": r("variance", 8), "trend": r("trend"), "residual": r("residual")}
+    return residuals.withColumns(rounded)
+
+
 @query("S14_cell_pca")
 def _(t: Tables):
     scores, _ = embed.cell_pca(t.embeddings, 20, cell="vec_id")

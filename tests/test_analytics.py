@@ -429,6 +429,79 @@ def test_two_triangles(spark):
     assert graph.modularity(edges, parts).first()[0] == pytest.approx(6 / 7 - 2 * (7 / 14) ** 2)
 
 
+def _spans(nodes, edges, community):
+    """Communities that fall apart when only the edges inside them are left, by walking through them."""
+    near = {n: set() for n in nodes}
+    for a, b, _ in edges:
+        if community[a] == community[b]:
+            near[a].add(b)
+            near[b].add(a)
+    broken = 0
+    for c in set(community.values()):
+        held = {n for n in nodes if community[n] == c}
+        seen, todo = set(), [min(held)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += near[n]
+        broken += seen != held
+    return broken
+
+
+def test_communities_hang_together(spark):
+    rng = np.random.default_rng(14)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 90, 170), rng.integers(0, 90, 170), rng.integers(1, 6, 170))]
+    df = spark.createDataFrame(edges, "src INT, dst INT, weight DOUBLE")
+    rows = graph.communities(df).collect()
+    community = {r.node: r.community for r in rows}
+    assert set(community) == {x for a, b, _ in edges for x in (a, b)} and all(community[c] == c for c in community.values())
+    assert _spans(list(community), edges, community) == 0
+    assert len({r.settled for r in rows}) == 1
+    total = sum(w for *_, w in edges)
+    inside = sum(w for a, b, w in edges if community[a] == community[b])
+    degree = {}
+    for a, b, w in edges:
+        for x in (a, b):
+            degree[community[x]] = degree.get(community[x], 0) + w
+    mine = inside / total - sum(d * d for d in degree.values()) / (4 * total * total)
+    assert graph.modularity(df, spark.createDataFrame(list(community.items()), "node INT, community INT")).first()[0] == pytest.approx(mine)
+    assert mine > 0.5
+
+
+def test_refinement_cuts_a_community_that_hangs_by_nothing(spark):
+    # Two triangles in one community without an edge between them, and a third that leans on a fourth node.
+    edges = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (6, 7, 1.0), (6, 6, 2.0)]
+    both, nodes = graph._nodes_of(spark.createDataFrame(edges, "src INT, dst INT, weight DOUBLE"))
+    state = nodes.withColumn("community", F.when(F.col("node") < 6, 0).otherwise(6))
+    parts = {r.node: r.part for r in graph._refined(both, state, 1.0).collect()}
+    groups = {frozenset(n for n in parts if parts[n] == p) for p in set(parts.values())}
+    assert all(g <= {0, 1, 2} or g <= {3, 4, 5} or g <= {6, 7} for g in groups) and len(groups) < 8
+
+
+def test_connected_components(spark):
+    rng = np.random.default_rng(15)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(400, 470)]
+    nodes = spark.createDataFrame([(n,) for n in range(480)], "node INT")
+    got = {r.node: r.component for r in graph.connected_components(nodes, spark.createDataFrame(edges, "src INT, dst INT")).collect()}
+    label = list(range(480))
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == dict(enumerate(label))
+
+
+def test_variance_trend(spark):
+    rng = np.random.default_rng(16)
+    x = rng.uniform(-3, 3, 2000)
+    rows = [(f"g{k:04d}", float(np.exp(v)), float(np.exp(0.3 + 1.2 * v - 0.08 * v * v))) for k, v in enumerate(x)]
+    rows += [("none", 0.0, 0.0), ("flat", 1.0, 0.0), ("wild", 1.0, 50.0)]
+    got = pseudobulk.trended_residuals(spark.createDataFrame(rows, "gene STRING, mean DOUBLE, variance DOUBLE")).toPandas().set_index("gene")
+    assert len(got) == 2001 and got.drop("wild").residual.abs().max() < 0.05
+    assert got.residual.idxmax() == "wild"
+    assert (got.trend + got.residual).to_numpy() == pytest.approx(np.log(got.variance.to_numpy()))
+
+
 # --- components -------------------------------------------------------------------------
 
 
