@@ -86,15 +86,18 @@ def format_trees(
     ties go to the smallest leaf. ``branches`` is how many are kept per tree, None for all.
     ``loss_spans`` are the places of the assistant's texts in ``formatted``, in code points, the
     end exclusive. Missing roles and texts are empty ones; an empty table gives no rows.
+    Rows without a tree are one tree, whose name is missing; rows without a node are left out.
     Identical rows count once; other columns are left out. One of two different rows with the
     same tree and node is refused by ``ValueError``.
     """
     rows = materialised(
         nodes.select(
-            F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"),
+            # A missing tree is a tree of its own: wrapped up, it equals itself in joins.
+            F.struct(F.col(tree).isNull().alias("none"), F.col(tree).alias("id")).alias("tree"),
+            F.col(node).alias("node"), F.col(parent).alias("parent"),
             F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
             (F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)).alias("score"),
-        ).where(F.col(tree).isNotNull() & F.col(node).isNotNull()).distinct()
+        ).where(F.col("node").isNotNull()).distinct()
     )
     if not rows.groupBy("tree", "node").count().where("count > 1").isEmpty():
         raise ValueError("two rows share a tree and a node")
@@ -121,9 +124,9 @@ def format_trees(
         ).alias("loss_spans"),
     )
     return whole.join(ranked, ["tree", "leaf"]).select(
-        "tree", "leaf", "rank", "score", "n_turns",
+        "tree.id", "leaf", "rank", "score", "n_turns",
         F.array_join(F.col("turns.turn"), "").alias("formatted"), "loss_spans",
-    )
+    ).withColumnRenamed("id", "tree")
 
 
 def turns_of(formatted: Column) -> Column:

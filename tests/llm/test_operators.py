@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -190,6 +191,18 @@ def test_reply_tree_branches(spark):
     assert chat.format_trees(df.where("false"), "tree", "node", "parent").collect() == []
 
 
+def test_rows_without_a_tree_are_one(spark, tmp_path):
+    rows = [(None, 0, "user", CHATS[1]), (None, 1, "assistant", CHATS[2]), (0, 0, "user", "a"), (0, 1, "assistant", None), (5, 3, None, "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat.format_trees(chat.with_parents(df, "conv_id", "turn"), "conv_id", "node", "parent")
+    assert sorted((r["tree"], r["n_turns"]) for r in done.where("tree is not null").collect()) == [(0, 2), (5, 1)]
+    assert [r["n_turns"] for r in done.where("tree is null").collect()] == [2]
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert difference(QUERIES["op8_chat_formatting"](spark, str(tmp_path)), con, ORACLES["op8_chat_formatting"]) is None
+
+
 def test_long_path_and_circle(spark):
     chain = spark.range(100).select(F.lit(1).alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
     paths = chat.reply_paths(chain, "tree", "node", "parent").collect()
