@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortframe.plans import cohort
 
 from .domain import colour_signatures, customer_cells, customer_expr, part_loadings
-from .registry import Tables, query
+from .registry import QUERIES, Tables, query
 
 
 def nation_cells(t: Tables):
@@ -61,3 +61,26 @@ def _(t: Tables):
 @query("P4_cluster_markers")
 def _(t: Tables):
     return cohort.cluster_markers(customer_cells(t), customer_expr(t))
+
+
+@query("P5_gate_markers")
+def _(t: Tables):
+    """Market segments stand in for the gates of the B cells, regions for the sample types."""
+    cells = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("cell_id"),
+        F.lit("B").alias("Cell_Type_Experimental"),
+        F.col("n_regionkey").cast("string").alias("sample_type"),
+        F.col("c_mktsegment").alias("gate"),
+    )
+    return cohort.gate_markers(cells, customer_expr(t))
+
+
+@query("P6_enriched_terms")
+def _(t: Tables):
+    """Differential expression between order statuses, then the part types over-represented among all genes that were tested."""
+    genes = t.part.select(F.col("p_name").alias("gene"), F.concat(F.lit("E"), "p_name").alias("entrez")).distinct()
+    terms = t.part.select(F.col("p_type").alias("term"), F.concat(F.lit("E"), "p_name").alias("entrez")).distinct()
+    tested = QUERIES["P3_expression_tests"](t.spark, t.folder)
+    return cohort.enriched_terms(
+        tested, genes, terms, alpha=1.01, min_effect=0.0, min_size=2, max_size=100_000, p_cutoff=None, q_cutoff=None
+    )
