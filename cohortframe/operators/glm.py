@@ -27,9 +27,9 @@ MAX_SAMPLES = 5_000
 GRID = 0.1 * 2.0 ** np.linspace(-10, 10, 21)
 FOLD_PRIOR = 0.125
 CPM_PRIOR = 2.0
-#: Relative change of the deviance at which a fit is at rest, and the least weight of a count in the adjustment
-#: of the likelihood: in a group of zeros the fitted mean would go on falling.
-TOLERANCE = 1e-12
+#: Relative change of the deviance at which a fit has converged; rounds that it goes on for, to be exact as well.
+TOLERANCE, POLISH = 1e-8, 2
+#: Least weight of a count in the adjustment of the likelihood: in a group of zeros the fitted mean would go on falling.
 LEAST_WEIGHT = 1e-6
 
 
@@ -136,7 +136,7 @@ def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, roun
     beta = (np.log(y + 0.5) - offset) @ np.linalg.pinv(x).T if start is None else start
     mu = means(beta)
     deviance = _deviance(y, mu, phi)
-    settled = np.zeros(len(y), bool)
+    settled, calm = np.zeros(len(y), bool), np.zeros(len(y), int)
     for _ in range(rounds):
         weight = mu / (1.0 + phi * mu)
         information = np.einsum("gs,sp,sq->gpq", weight, x, x, optimize=True) + 1e-9 * np.eye(x.shape[1])
@@ -152,8 +152,9 @@ def _fit(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: np.ndarray, roun
             scale[worse] *= 0.5
         trial[worse], moved[worse], now[worse] = beta[worse], mu[worse], deviance[worse]
         settled = np.abs(deviance - now) < TOLERANCE * (1.0 + np.abs(now))
+        calm = np.where(settled, calm + 1, 0)
         beta, mu, deviance = trial, moved, now
-        if settled.all():
+        if (calm > POLISH).all():
             break
     weight = mu / (1.0 + phi * mu)
     information = np.einsum("gs,sp,sq->gpq", weight, x, x, optimize=True) + 1e-9 * np.eye(x.shape[1])
