@@ -129,12 +129,12 @@ def test_token_count_query(spark):
 # --- exact dedup ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("capacity", [100_000, 2])
-def test_exact_duplicates(spark, capacity):
+@pytest.mark.parametrize("capacity, hot_rows", [(100_000, 1_000), (2, 1_000), (2, 1)])
+def test_exact_duplicates(spark, capacity, hot_rows):
     texts = [None, "", "a", "a ", "A", "a", "b\x00", "b", "é", "é", "x" * 100_000, "x" * 100_000]
     rows = [(k, t, 0) for k, t in enumerate(texts)] + [(5, "a", 1), (None, "b", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key64 int")
-    got = sorted(map(tuple, exact_dedup.exact_duplicates(df, capacity=capacity).collect()), key=repr)
+    got = sorted(map(tuple, exact_dedup.exact_duplicates(df, capacity=capacity, hot_rows=hot_rows).collect()), key=repr)
     groups = {}
     for k, t, _ in rows:
         groups.setdefault(t or "", []).append(k)
@@ -147,6 +147,24 @@ def test_exact_duplicates(spark, capacity):
     assert exact_dedup.exact_duplicates(df.where("false")).collect() == []
 
 
+def test_owners_chain_different_texts_of_one_key(spark):
+    rows = [(k, 7, t, k % 3) for k, t in enumerate(["b", "a", "b", "c", "a", "a"])] + [(9, 8, "a", 0)]
+    df = spark.createDataFrame(rows, "id long, key64 long, text string, owner int")
+    got = {(r["owner"], r["key64"], r["text"]): r["chain"] for r in exact_dedup._chained(df.repartition("owner"), ["owner"]).collect()}
+    want = {}
+    for _, key, text, owner in sorted(rows, key=lambda r: r[2]):
+        want.setdefault((owner, key, text), sum(1 for o, k, _ in want if (o, k) == (owner, key)))
+    assert got == want
+
+
+def test_directory_reads_keys_again_only_below_overfull_buckets(spark):
+    # All keys agree on their first 18 bits, so the buckets split behind the first reading.
+    keys = spark.range(64).select(F.shiftleft("id", 40).alias("key"))
+    leaves = exact_dedup.directory(keys, 16).collect()
+    assert sum(2.0 ** -r["depth"] for r in leaves) == 1.0
+    assert max(r["depth"] for r in leaves) == 20
+
+
 def test_directory_splits_until_nothing_is_overfull(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     leaves = exact_dedup.directory(keys.union(keys), 300).collect()
