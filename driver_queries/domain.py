@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortframe.operators import embed, enrich, glm, graph, markers, multiple, neighbours, pseudobulk, score, tidy, trend
+from cohortframe.operators import donors, embed, enrich, glm, graph, markers, multiple, neighbours, pseudobulk, score, tidy, trend
 from cohortframe.session import materialised
 
 from .registry import Tables, query, r
@@ -651,6 +651,34 @@ def _(t: Tables):
     return moved.select("cell_id", *[r(F.get("embedding", F.lit(i))).alias(f"c{i + 1}") for i in range(3)])
 
 
+@query("S16_align_donors_softly")
+def _(t: Tables):
+    placed = embed.project(customer_expr(t), customer_cells(t), part_loadings(t), 3)
+    moved = donors.align_donors_softly(placed, "nation", clusters=8, rounds=2, steps=1)
+    return moved.select("cell_id", *[r(F.get("embedding", F.lit(i))).alias(f"c{i + 1}") for i in range(3)])
+
+
+@query(
+    "S16_cluster_shifts",
+    f"""WITH {_PROJECTED},
+        m AS (SELECT (c1 > 0)::INT + 2 * (c2 > 0)::INT AS cluster, nation, count(*)::DOUBLE AS n,
+                     sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3 FROM p GROUP BY ALL),
+        u AS (SELECT cluster, sum(n / (n + 2)) AS w, sum(s1 / (n + 2)) AS u1, sum(s2 / (n + 2)) AS u2, sum(s3 / (n + 2)) AS u3
+              FROM m GROUP BY cluster)
+        SELECT cluster, nation, round((s1 - n * u1 / w) / (n + 2), 6) AS shift1, round((s2 - n * u2 / w) / (n + 2), 6) AS shift2,
+               round((s3 - n * u3 / w) / (n + 2), 6) AS shift3 FROM m JOIN u USING (cluster)""",
+)
+def _(t: Tables):
+    placed = embed.project(customer_expr(t), customer_cells(t), part_loadings(t), 3)
+    at = [F.get("embedding", F.lit(i)) for i in range(3)]
+    cluster = ((at[0] > 0).cast("int") + 2 * (at[1] > 0).cast("int")).alias("cluster")
+    moments = placed.groupBy(cluster, "nation").agg(
+        F.count("*").cast("double").alias("n"), F.array(*[F.sum(x) for x in at]).alias("s")
+    )
+    shifts = donors.ridge_shifts(moments, 2.0, donor="nation")
+    return shifts.select("cluster", "nation", *[r(F.get("shift", F.lit(i))).alias(f"shift{i + 1}") for i in range(3)])
+
+
 def nation_profiles(t: Tables):
     """Mean quantity per nation and part name."""
     return (
