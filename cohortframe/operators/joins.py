@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,12 @@ from ..session import materialised
 from .keyed import join_groups, unique_by
 from .scan import BLOCK_ROWS, with_position
 
+#: Combinations of levels that one row lists at a time.
+GRID_PIECE = 4_096
+#: Combinations that a task writes, and the tasks beyond which it writes more.
+GRID_ROWS = 1_000_000
+MAX_TASKS = 100_000
+
 
 def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Add the columns of ``right`` by key; a key with two rows there fails the job."""
@@ -23,16 +30,17 @@ def attach_by_ordinal(
 ) -> DataFrame:
     """Give the n-th row of a group the columns of the n-th row of that group in ``right``.
 
-    Both sides carry the ingest number ``order``.  The job fails if a group has a different
-    number of rows on the two sides, or if one side lacks it.
+    Both sides carry the ingest number ``order``, unique within a group. Only group and number are ranked and
+    written; the other columns are joined by them. Fails if a group has a different number of
+    rows on the two sides, or if one side lacks it.
     """
-    numbered_left = with_position(left, [group], [order], "__rn", block_rows=block_rows)
-    values = right.select(group, order, *[c for c in right.columns if c not in left.columns])
-    numbered_right = with_position(values, [group], [order], "__rn", block_rows=block_rows).drop(order)
-    renamed = numbered_right.withColumnsRenamed({group: "__group", "__rn": "__rn_right"})
-    same = numbered_left[group].eqNullSafe(renamed["__group"]) & (numbered_left["__rn"] == renamed["__rn_right"])
-    pairs = numbered_left.join(renamed, same, "full")
-    # A group of unequal length leaves a row without partner on one side.
+    here, there = (
+        with_position(side.select(group, F.col(order).alias(name)), [group], [name], "__rn", block_rows=block_rows)
+        for side, name in ((left, "__left"), (right, "__right"))
+    )
+    there = there.withColumnsRenamed({group: "__group", "__rn": "__rn_right"})
+    same = here[group].eqNullSafe(there["__group"]) & (here["__rn"] == there["__rn_right"])
+    # A group of unequal length leaves a number without partner on one side.
     aligned = F.col("__rn").isNotNull() & F.col("__rn_right").isNotNull()
     checked = F.when(aligned, F.lit(True)).otherwise(
         F.raise_error(
@@ -42,7 +50,14 @@ def attach_by_ordinal(
             )
         )
     )
-    return pairs.filter(checked).drop("__group", "__rn", "__rn_right")
+    # Written, so that a join cannot drop a number without partner before it is checked.
+    pairs = materialised(here.join(there, same, "full").filter(checked).select("__group", "__left", "__right"))
+    values = right.select(
+        F.col(group).alias("__value_group"), F.col(order).alias("__value_order"), *[c for c in right.columns if c not in left.columns]
+    )
+    numbered = left.join(pairs, left[group].eqNullSafe(F.col("__group")) & left[order].eqNullSafe(F.col("__left")))
+    found = F.col("__group").eqNullSafe(F.col("__value_group")) & F.col("__right").eqNullSafe(F.col("__value_order"))
+    return numbered.join(values, found).drop("__group", "__left", "__right", "__value_group", "__value_order")
 
 
 def map_ids(df: DataFrame, mapping: DataFrame, key: str, *, keep_unmapped: bool = False) -> DataFrame:
@@ -158,30 +173,58 @@ def complete_levels(
     """Add the level combinations that do not occur, with ``fill`` in ``values``.
 
     Levels are those found in ``counts``; ``levels`` declares others for a dimension, in which
-    case rows with an undeclared level are dropped, as a factor would drop them.  Only the
-    level names meet in one row; the combinations are generated after they are spread out.
+    case rows with an undeclared level are dropped, as a factor would drop them. Levels stay
+    tables, however many there are (see :func:`level_grid`).
     """
     declared = dict(levels or {})
-    # Read twice below; the counts are small beside the rows they stand for.
+    # Read for each dimension and at the end; the counts are small beside the rows they stand for.
     counts = materialised(counts.dropna(subset=list(dims)).select(*dims, *values))
-    occurs = F.col(values[0]).isNotNull()
-    observed = [F.array_sort(F.collect_set(F.when(occurs, F.col(d)))).alias(f"__l_{d}") for d in dims]
-    grid = counts.agg(*observed)
-    for dim, given in declared.items():
-        if isinstance(given, DataFrame):
-            names = given.agg(F.collect_set(given.columns[0]).alias("l")).scalar()
+    found = {}
+    for dim in dims:
+        given = declared.get(dim)
+        if given is None:
+            names = counts.filter(F.col(values[0]).isNotNull()).select(dim)
+        elif isinstance(given, DataFrame):
+            names = given.select(F.col(given.columns[0]).alias(dim))
         else:
-            names = F.array(*[F.lit(v) for v in given])
-        grid = grid.withColumn(f"__l_{dim}", names)
-    for i, dim in enumerate(dims):
-        grid = grid.withColumn(dim, F.explode(f"__l_{dim}"))
-        if i == 0:
-            grid = grid.repartition(dim)
-    grid = grid.select(*dims)
-    full = grid.join(counts, list(dims), "left")
+            listed = F.array(*[F.lit(v) for v in given]).cast(f"array<{counts.schema[dim].dataType.simpleString()}>")
+            names = counts.sparkSession.range(1).select(F.explode(listed).alias(dim))
+        found[dim] = names.dropna().distinct()
+    full = level_grid(found).join(counts, list(dims), "left")
     return full.withColumns({v: F.coalesce(F.col(v), F.lit(fill).cast(counts.schema[v].dataType)) for v in values})
 
 
+def level_grid(levels: Mapping[str, DataFrame], *, piece: int = GRID_PIECE) -> DataFrame:
+    """All combinations of the levels: a column for each dimension, whose table holds distinct names.
+
+    The largest dimension stays as rows in its partitions. The combinations of the others are the numbers
+    from 0 to the product of their sizes; each row lists them in pieces of ``piece``, a number is decoded
+    by mixed radix, and the decoded places are joined with the numbered names. No row holds
+    all names or all combinations. A dimension without levels gives an empty grid.
+    """
+    tables = {dim: materialised(names) for dim, names in levels.items()}
+    sizes = {dim: names.count() for dim, names in tables.items()}
+    base = max(sizes, key=lambda dim: sizes[dim])
+    others = [dim for dim in tables if dim != base]
+    total = math.prod(sizes[dim] for dim in others)
+    if not total or not sizes[base]:
+        return tables[base].select(*[F.col(base) if dim == base else F.lit(None).cast(tables[dim].schema[dim].dataType).alias(dim) for dim in tables]).filter(F.lit(False))
+    # A number of tasks that is asked for stays: names that fit one task make a grid that does not.
+    tasks = min(-(-total * sizes[base] // GRID_ROWS), MAX_TASKS)
+    grid = tables[base].repartition(tasks, base) if others else tables[base]
+    if others:
+        grid = grid.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"), F.lit(piece).cast("long"))))
+        last = F.least(F.col("__from") + (piece - 1), F.lit(total - 1).cast("long"))
+        grid = grid.withColumn("__at", F.explode(F.sequence(F.col("__from"), last))).drop("__from")
+    stride = 1
+    for dim in others:
+        named = with_position(tables[dim], [], [dim], "__place")
+        place = F.expr(f"__at div {stride}L") % F.lit(sizes[dim]).cast("long") + 1
+        grid = grid.withColumn("__place", place).join(named, "__place").drop("__place")
+        stride *= sizes[dim]
+    return grid.select(*tables)
+
+
 def terms_with_symbols(
     hits: DataFrame, mapping: DataFrame, by: Sequence[str], gene_id: str, symbol: str, name: str = "symbols"
 ) -> DataFrame:

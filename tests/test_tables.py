@@ -165,6 +165,41 @@ def test_crosstab_properties(spark):
     assert [r for r in rows(declared) if r[0] == "y"] == [("y", "p", 0, 0, None), ("y", "q", 0, 0, None)]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 4_096])
+def test_level_grid(spark, piece):
+    a = spark.createDataFrame([(x,) for x in "pqr"], "a STRING")
+    b = spark.createDataFrame([(x,) for x in (1, 2)], "b INT")
+    c = spark.createDataFrame([(x,) for x in (0.5, 1.5, 2.5, 3.5)], "c DOUBLE")
+    grid = joins.level_grid({"a": a, "b": b, "c": c}, piece=piece)
+    assert grid.columns == ["a", "b", "c"]
+    assert rows(grid) == sorted((x, y, z) for x in "pqr" for y in (1, 2) for z in (0.5, 1.5, 2.5, 3.5))
+    assert rows(joins.level_grid({"a": a}, piece=piece)) == [("p",), ("q",), ("r",)]
+    empty = joins.level_grid({"a": a, "b": b.where("false"), "c": c})
+    assert empty.columns == ["a", "b", "c"] and rows(empty) == []
+
+
+def test_level_grid_of_many_levels(spark):
+    """No task writes more than its share, and no row holds the names of a dimension."""
+    many = spark.range(100_000).select(F.concat(F.lit("level "), "id").alias("a"))
+    few = spark.range(20).select(F.col("id").alias("b"))
+    grid = joins.level_grid({"a": many, "b": few})
+    assert "collect_" not in grid._jdf.queryExecution().toString()
+    got = grid.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    want = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("b"))
+    assert tuple(got) == tuple(want.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    sizes = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 2 and max(sizes) < 1_100_000
+
+
+def test_levels_that_are_declared(spark):
+    counts = spark.createDataFrame([("x", 1, 5), ("y", 2, 6), (None, 1, 7), ("z", 9, None)], "a STRING, b INT, n LONG")
+    got = joins.complete_levels(counts, ["a", "b"], ["n"], {"b": [2, 1, 3]}, fill=0)
+    assert rows(got) == [("x", 1, 5), ("x", 2, 0), ("x", 3, 0), ("y", 1, 0), ("y", 2, 6), ("y", 3, 0)]
+    got = joins.complete_levels(counts, ["a", "b"], ["n"], {"a": spark.createDataFrame([("y",), ("y",), (None,)], "l STRING")})
+    assert rows(got) == [("y", 1, 0), ("y", 2, 6)]
+    assert rows(joins.complete_levels(counts.where("false"), ["a", "b"], ["n"])) == []
+
+
 def test_zscore_of_constant_marker(spark):
     df = spark.createDataFrame([("p", "m", 2.0), ("q", "m", 2.0), ("p", "k", 1.0), ("q", "k", 3.0)], "p STRING, f STRING, x DOUBLE")
     got = {(r.p, r.f): r.z_score for r in summary.zscore_vs_global(df, "p", "f", "x").collect()}
