@@ -22,6 +22,8 @@ from .common import text_of
 
 #: Words that a run needs at least to be deleted.
 MIN_WORDS = 50
+#: Values with more than this part of all rows are looked up apart.
+SHARE = 1_000
 _MARK = "\u0001"
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -35,12 +37,12 @@ def lines_of(text: Column) -> Column:
 
 
 def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc, pos, x, y, words`` of the lines that occur more than once."""
+    """``doc, pos, rank, words`` of the lines that occur more than once."""
     line = F.trim("line", F.lit(_BLANK))
     # Where single blanks alone part words, they are counted without splitting.
     odd = text_of(text).rlike(r"[\x09\x0B-\x0D]|\x20\x20").alias("odd")
     # Two steps: beside a generator the pattern would run over the whole text for each of its lines.
-    cut = docs.select(F.col(key).alias("doc"), odd, lines_of(text_of(text)).alias("lines"))
+    cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), odd, lines_of(text_of(text)).alias("lines"))
     lines = cut.select("doc", "odd", F.posexplode("lines").alias("pos", "line"))
     words = F.when(F.col("odd"), F.size(F.split(line, r"[\x20\x09-\x0D]+")))
     words = words.otherwise(1 + F.length(line) - F.length(F.replace(line, F.lit(" "))))
@@ -51,15 +53,42 @@ def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.xxhash64(F.lit(1), line).alias("y"),
         F.when(line == "", 0).otherwise(words).alias("words"),
     )
-    lines = materialised(lines)
-    often = lines.groupBy("x", "y").count().where("count > 1").select("x", "y")
-    return lines.join(materialised(often), ["x", "y"])
+    return _ranked(materialised(lines), ["x", "y"], ["doc", "pos"]).where("rank is not null")
 
 
-def _blocks(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Repeated lines as ``doc, pos, x, y``, and ``doc, pos, size``: the least lines with enough words.
+def _ranked(rows: DataFrame, by: list[str], place: list[str]) -> DataFrame:
+    """``rows`` with the ``rank`` of their values ``by`` in place of these; none where they occur once or are missing.
 
-    A block begins or ends at each line; one that is the least in both directions is there once.
+    Ranks keep the order of the values. Values with more than one in ``SHARE`` of all rows, which are fewer than
+    ``SHARE``, are broadcast with their ranks, and their rows spread by ``place``.
+    """
+    one, two = by
+    classes = rows.where(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    classes = materialised(classes)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    # Partitions are ranges in order, and the number grows with the partition, then with the row.
+    ordered = classes.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    ranks = materialised(ordered.withColumn("rank", F.monotonically_increasing_id()))
+    hot = F.col("n") * SHARE > total
+    frequent = ranks.where(hot).select(F.col(one).alias("__f1"), F.col(two).alias("__f2"), F.col("rank").alias("__hot"))
+    others = ranks.where(~hot).select(F.col(one).alias("__o1"), F.col(two).alias("__o2"), "rank")
+    found = rows.join(F.broadcast(frequent), (F.col(one) == F.col("__f1")) & (F.col(two) == F.col("__f2")), "left")
+    open_ = F.col("__hot").isNull() & F.col(one).isNotNull() & F.col(two).isNotNull()
+    found = found.withColumns(
+        {"__k1": F.when(open_, F.col(one)).otherwise(F.xxhash64(*place)), "__k2": F.when(open_, F.col(two)).otherwise(0), "__open": open_}
+    )
+    found = found.drop(one, two, "__f1", "__f2")
+    joined = found.join(others, (F.col("__k1") == F.col("__o1")) & (F.col("__k2") == F.col("__o2")), "left")
+    rank = F.when(F.col("__open"), F.col("rank")).otherwise(F.col("__hot"))
+    return joined.withColumn("rank", rank).drop("__k1", "__k2", "__o1", "__o2", "__open", "__hot")
+
+
+def _runs(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """Runs of neighbouring repeated lines: ``doc, pos, ranks, blocks``.
+
+    ``pos`` is the place of the first line, ``ranks`` the ranks of all, and ``blocks`` has an ``i, size`` for the
+    least lines with enough words, counted in the run. A block begins or ends at each line; one that
+    is the least in both directions is there once.
     """
     by = Window.partitionBy("doc")
     lines = _repeated(docs, key, text).withColumn("last", F.lag("pos").over(by.orderBy("pos")))
@@ -76,7 +105,7 @@ def _blocks(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataF
     ahead = whole.orderBy("before").rangeBetween(min_words, 2 * min_words)
     behind = whole.orderBy("upto").rangeBetween(-2 * min_words, -min_words)
     lines = lines.select(
-        "doc", "pos", "x", "y", "before",
+        "doc", "run", "pos", "rank", "before",
         F.coalesce(
             F.min("pos").over(ahead),
             F.when(F.col("total") >= F.col("before") + min_words, F.max("pos").over(whole) + 1),
@@ -87,22 +116,30 @@ def _blocks(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataF
         ).alias("start"),
         F.coalesce(F.max("upto").over(behind), F.lit(0)).alias("skipped"),
     )
-    lines = materialised(lines)
-    onward = F.struct("pos", (F.col("stop") - F.col("pos")).alias("size"))
     # Without its last line it still has enough words: then it is not the block that begins at ``start``.
     longer = F.col("before") - F.col("skipped") >= min_words
-    back = F.when(longer, F.struct(F.col("start").alias("pos"), (F.col("pos") + 1 - F.col("start")).alias("size")))
-    blocks = lines.select("doc", F.explode(F.array(onward, back)).alias("b")).where("b.size is not null")
-    return lines.select("doc", "pos", "x", "y"), blocks.select("doc", "b.pos", "b.size")
-
-
-def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``doc, pos, rank`` of the rows whose values ``by`` occur more than once; ranks keep the order of the values."""
-    classes = materialised(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by))
-    # Partitions are ranges in order, and the number grows with the partition, then with the row.
-    ordered = classes.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
-    ranks = materialised(ordered.withColumn("rank", F.monotonically_increasing_id()))
-    return materialised(rows.join(ranks, by).select("doc", "pos", "rank"))
+    lines = lines.select("doc", "run", F.struct("pos", "rank", "stop", F.when(longer, F.col("start")).alias("start")).alias("line"))
+    runs = lines.groupBy("doc", "run").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    first = F.col("lines")[0]["pos"]
+    onward = F.transform("lines", lambda x: F.struct((x["pos"] - first).alias("i"), (x["stop"] - x["pos"]).alias("size")))
+    back = F.transform("lines", lambda x: F.struct((x["start"] - first).alias("i"), (x["pos"] + 1 - x["start"]).alias("size")))
+    blocks = F.filter(F.concat(onward, back), lambda x: x["size"].isNotNull())
+    return materialised(runs.select("doc", first.alias("pos"), F.col("lines.rank").alias("ranks"), blocks.alias("blocks")))
+
+
+def _doubled(runs: DataFrame, reach: int) -> DataFrame:
+    """``runs`` with ranks of blocks of twice ``reach`` lines; only those with blocks that need them."""
+    held = lambda x: F.get("ranks", x["i"]).isNotNull() & F.get("ranks", x["i"] + x["size"] - reach).isNotNull()
+    runs = runs.withColumn("blocks", F.filter("blocks", lambda x: (x["size"] >= 2 * reach) & held(x))).where(F.size("blocks") > 0)
+    n = F.size("ranks") - reach
+    pairs = F.zip_with(F.slice("ranks", F.lit(1), n), F.slice("ranks", F.lit(1 + reach), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = runs.select("doc", "pos", "blocks", F.posexplode(pairs).alias("i", "pair"))
+    rows = rows.select("doc", "pos", "i", F.when(F.col("i") == 0, F.col("blocks")).alias("blocks"), "pair.a", "pair.b")
+    ranked = _ranked(rows, ["a", "b"], ["doc", "pos", "i"])
+    runs = ranked.groupBy("doc", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("l"), F.any_value("blocks", F.lit(True)).alias("blocks")
+    )
+    return materialised(runs.select("doc", "pos", F.col("l.rank").alias("ranks"), "blocks"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -110,24 +147,25 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     Runs come first by key, then by place. A run that repeats itself overlapping keeps one whole copy.
     """
-    lines, blocks = _blocks(docs, key, text, min_words)
-    level, ranks, names = 0, _ranked(lines, ["x", "y"]), None
-    sizes = blocks.withColumn("level", F.floor(F.log2("size")).cast("int"))
-    deepest = sizes.agg(F.max("level")).first()[0]
-    while deepest is not None and level <= deepest:
+    runs, level, names = _runs(docs, key, text, min_words), 0, None
+    largest = runs.agg(F.max(F.array_max(F.transform("blocks", lambda x: x["size"])))).first()[0] or 0
+    while 1 << level <= largest:
         # A block is named by the ranks of its first and of its last 2 ** level lines.
-        here = sizes.where(F.col("level") == level).drop("level")
-        here = here.join(ranks.withColumnRenamed("rank", "head"), ["doc", "pos"])
-        tail = ranks.select("doc", F.col("pos").alias("at"), F.col("rank").alias("tail"))
-        here = here.withColumn("at", F.col("pos") + F.col("size") - (1 << level)).join(tail, ["doc", "at"])
-        here = here.select("doc", "pos", "size", "head", "tail")
+        reach = 1 << level
+        here = runs.select("doc", "pos", "ranks", F.explode(F.filter("blocks", lambda x: x["size"] < 2 * reach)).alias("b"))  # noqa: B023
+        here = here.select(
+            "doc",
+            (F.col("pos") + F.col("b.i")).alias("pos"),
+            "b.size",
+            F.get("ranks", F.col("b.i")).alias("head"),
+            F.get("ranks", F.col("b.i") + F.col("b.size") - reach).alias("tail"),
+        ).where("head is not null and tail is not null")
         names = here if names is None else names.unionAll(here)
-        if level < deepest:
-            second = ranks.select("doc", (F.col("pos") - (1 << level)).alias("pos"), F.col("rank").alias("then"))
-            ranks = _ranked(ranks.withColumnRenamed("rank", "head").join(second, ["doc", "pos"]), ["head", "then"])
+        if 2 * reach <= largest:
+            runs = _doubled(runs, reach)
         level += 1
     if names is None:
-        return lines.select("doc", "pos").where("false")
+        return runs.select("doc", "pos").where("false")
     names = materialised(names)
     interval = ["size", "head", "tail"]
     first = names.groupBy(*interval).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -147,7 +185,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     All rows and columns stay, a document that is a copy as a whole with an empty text. ``removed``
     names a column for the number of lines taken out. Line ids are 128-bit hashes of the lines without
     white space at their ends. Missing texts stay missing. Equal rows count as one document and
-    lose the same lines; rows without a key lose none. An empty table gives an empty one.
+    lose the same lines; rows without a key take no part. An empty table gives an empty one.
     """
     gone = repeated_lines(docs, key, text, min_words).groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     # One hash table per partition, whatever the size: texts are moved once and not sorted.
