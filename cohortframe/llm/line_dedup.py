@@ -12,6 +12,9 @@ of those that end at each of its lines, so both kinds are told apart and it goes
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,14 +41,14 @@ def lines_of(text: Column) -> Column:
 
 def _repeated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``doc, pos, rank, words`` of the lines that occur more than once."""
-    line = F.trim("line", F.lit(_BLANK))
-    # Where single blanks alone part words, they are counted without splitting.
-    odd = text_of(text).rlike(r"[\x09\x0B-\x0D]|\x20\x20").alias("odd")
-    # Two steps: beside a generator the pattern would run over the whole text for each of its lines.
+    # Where a line feed ends lines and single blanks alone part words, trimming and counting is cheap.
+    odd = reduce(or_, [F.contains(text_of(text), F.lit(x)) for x in ("\t", "\x0b", "\x0c", "\r", "  ")]).alias("odd")
+    line = F.when(F.col("odd"), F.trim("line", F.lit(_BLANK))).otherwise(F.trim(F.replace("line", F.lit("\n"), F.lit(""))))
+    # Two steps: beside a generator the searches would run over the whole text for each of its lines.
     cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), odd, lines_of(text_of(text)).alias("lines"))
     lines = cut.select("doc", "odd", F.posexplode("lines").alias("pos", "line"))
     words = F.when(F.col("odd"), F.size(F.split(line, r"[\x20\x09-\x0D]+")))
-    words = words.otherwise(1 + F.length(line) - F.length(F.replace(line, F.lit(" "))))
+    words = words.otherwise(1 + F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))))
     lines = lines.where("line <> ''").select(  # behind the last end there is no line
         "doc",
         "pos",
