@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortframe.functions import tails
 from cohortframe.operators import embed, enrich, glm, graph, markers, metric, neighbours, pseudobulk, ranksums, score
@@ -360,6 +361,48 @@ def test_pruned_search_looks_at_few_rows(spark, monkeypatch):
         assert list(got[got.cell_id == i].sort_values("rank").ref_id) == list(np.argsort(distance)[:5])
 
 
+def test_queries_travel_once_to_a_block_of_many_cells(spark, monkeypatch):
+    # Nothing to prune: every query has to see nearly all of some 40 cells, which share a few blocks.
+    rng = np.random.default_rng(21)
+    r = rng.normal(size=(1600, 16)).round(2)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(r)], "cell_id BIGINT, embedding ARRAY<FLOAT>")
+    sent, search = [], metric.search
+
+    def counting(pairs, *rest):
+        sent.append(pairs.count())
+        return search(pairs, *rest)
+
+    monkeypatch.setattr(metric, "search", counting)
+    got = neighbours.nearest(df, df.withColumnRenamed("cell_id", "ref_id"), 4, exclude_self=True, reference_rows=400).toPandas()
+    assert sent[0] == len(r) and sent[1] <= len(r) * 2 * len(r) / 400
+    x = r.astype(np.float32).astype(float)
+    for i in range(0, len(r), 37):
+        distance = np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+        want = sorted((j for j in range(len(r)) if j != i), key=lambda j: (distance[j], j <= i, j))[:4]
+        mine = got[got.cell_id == i].sort_values("rank")
+        assert list(mine.ref_id) == want and list(mine.distance) == pytest.approx(list(distance[want]))
+
+
+def test_index_is_read_in_bounded_pieces():
+    # As many rows as an Arrow batch has, and as many pivots as there are at most: no table of all their distances.
+    import pyarrow as pa
+    rng, seen = np.random.default_rng(22), []
+    x, pivots = rng.normal(size=(3000, 4)), rng.normal(size=(metric.PIVOTS, 4))
+
+    class Rows:
+        schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x))], names=["i", "v"])
+    for part in metric._with_cell(Rows(), pivots)(iter([batch])):
+        seen.append(part.num_rows)
+        near = ((np.vstack(part.column(1).to_numpy(zero_copy_only=False))[:, None] - pivots) ** 2).sum(axis=2)
+        assert list(part.column(2).to_numpy()) == list(near.argmin(axis=1))
+    assert sum(seen) == len(x) and max(seen) * len(pivots) <= 1_000_000
+
+
 @pytest.mark.parametrize("k", [3, 40])
 def test_pruned_search_of_copies_rings_and_lone_rows(spark, k):
     # A crowd of copies, one large cell to cut into rings, far rows, and more neighbours wanted than a block holds.
