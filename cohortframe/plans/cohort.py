@@ -99,7 +99,8 @@ def annotate(
     Cells that fail get the label ``Unassigned`` and probability 0.
     """
     donors = cells.select("cell_id", "individual")
-    projected = embed.project(expr, donors, loadings, components)
+    # The alignment reads the projection three times.
+    projected = materialised(embed.project(expr, donors, loadings, components))
     placed = materialised(embed.align_donors(projected, "individual"))
     errors = neighbours.mapping_error(placed, reference, ["individual"], threshold=threshold)
     labels = neighbours.knn_label_transfer(placed, reference, k)

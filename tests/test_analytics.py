@@ -383,6 +383,22 @@ def test_queries_travel_once_to_a_block_of_many_cells(spark, monkeypatch):
         assert list(mine.ref_id) == want and list(mine.distance) == pytest.approx(list(distance[want]))
 
 
+def test_far_queries_of_a_block_of_copies():
+    # Queries far outside all cells, whose first tile says little about the next; each reference stands three times.
+    rng = np.random.default_rng(23)
+    refs = np.repeat(rng.normal(size=(400, 3)).round(1), 3, axis=0)[rng.permutation(1200)]
+    queries, pivots = rng.normal(size=(60, 3)) + np.linspace(5, 90, 60)[:, None], rng.normal(size=(9, 3))
+    away = metric._away(queries, pivots)
+    cell = metric._away(refs, pivots).argmin(axis=1)
+    after, same = rng.integers(0, 1200, 60), rng.integers(-1, 1200, 60)
+    known = cell, pivots, away.argmin(axis=1), away.min(axis=1), np.full(60, np.inf)
+    got = pd.concat(pd.DataFrame({"q": i, "p": p, "d": d}) for i, p, d in neighbours._nearest_in_block(queries, after, same, refs, 7, *known))
+    for i in range(60):
+        distance = np.sqrt(((queries[i] - refs) ** 2).sum(axis=1))
+        want = sorted((j for j in range(1200) if j != same[i]), key=lambda j: (distance[j], (j - after[i]) % 1200))[:7]
+        assert list(got[got.q == i].p) == want
+
+
 def test_index_is_read_in_bounded_pieces():
     # As many rows as an Arrow batch has, and as many pivots as there are at most: no table of all their distances.
     import pyarrow as pa

@@ -135,3 +135,14 @@ def test_annotation(spark, made):
     labels = got.groupBy("predicted_BMM").agg(F.min("predicted_BMM_proba"), F.max("predicted_BMM_proba")).collect()
     assert {r[0] for r in labels} <= {"HSC", "CLP", "Unassigned"}
     assert all(r[2] == 0 for r in labels if r[0] == "Unassigned")
+
+
+def test_annotation_projects_once(spark, made, monkeypatch):
+    cells, expr, genes = made
+    loadings = spark.createDataFrame([(g, 2.5, 1.0, [float(i)]) for i, g in enumerate(genes)], "gene STRING, mean DOUBLE, sd DOUBLE, weights ARRAY<DOUBLE>")
+    reference = spark.range(9).select(F.concat(F.lit("r"), "id").alias("ref_id"), F.lit("HSC").alias("label"), F.array(F.col("id").cast("double")).alias("embedding"))
+    given, align = [], cohort.embed.align_donors
+    monkeypatch.setattr(cohort.embed, "align_donors", lambda scores, donor: given.append(scores) or align(scores, donor))
+    cohort.annotate(cells, expr, loadings, reference, 1, k=3)
+    # A written table, which the alignment may read as often as it likes.
+    assert given[0].inputFiles()
