@@ -3,8 +3,10 @@
 Vectors of whole numbers are kept in blocks twice: exactly, and as cells of a grid, a byte for each
 component. A search scans the cells only. From the corners of its cell every vector has a lower and
 an upper bound of its inner product with the query, and those whose upper bound is below the k-th
-best lower bound are out. Exact vectors are then read in the order of their bounds: first the most
-promising ones, then those that the k-th exact score does not rule out; then the result is certain.
+best lower bound of the block are out. Exact vectors are then read in the order of their bounds: first the most
+promising ones, then those that the k-th exact score does not rule out; then the block's result is certain.
+Both forms of a block travel together, so that candidates are told apart where they are found: what a task
+hands on is the best few of a query, however wide the cells are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ CELLS = 64
 #: only; every vector is in the file, and bounds hold for all.
 SAMPLE = 4_096
 #: Vectors in a block of the file, and queries in a block.
-BLOCK, QUERIES = 8_192, 1_024
+BLOCK, QUERIES = 8_192, 4_096
 #: Queries that a task holds against a block at a time.
 ROWS = 64
 #: Components stay below this in size, and below what would take scores beyond 64 bits.
@@ -93,15 +95,15 @@ def _codes(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _write(dim: int, edges: np.ndarray, block: int):
-    """Vectors as rows of blocks: their numbers, cells and exact components."""
+    """Vectors as rows of blocks: a number of the block, the vectors' numbers, cells and exact components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
 
         def flush() -> pa.RecordBatch:
             cids, x = np.concatenate([c for c, _ in kept]), np.concatenate([x for _, x in kept])
-            arrays = [pa.array([int(cids[0])]), *(pa.array([a.tobytes()], pa.binary()) for a in (cids, _codes(x, edges)))]
-            return pa.RecordBatch.from_arrays(arrays, names=["first", "cids", "codes"])
+            arrays = [pa.array([int(cids[0])]), *(pa.array([a.tobytes()], pa.binary()) for a in (cids, _codes(x, edges), x))]
+            return pa.RecordBatch.from_arrays(arrays, names=["first", "cids", "codes", "exact"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, block):
@@ -124,7 +126,7 @@ def _kth(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scan(dim: int, least: np.ndarray, most: np.ndarray, k: int):
-    """Bounds of the vectors in a block for the queries in a block; what the best ones here do not rule out.
+    """``q, cid, score``: the ``k`` best vectors of a block for each query of a block, and ties.
 
     Twice the score lies within ``|q| . (most - least)`` of ``q . (least + most)``. All are whole numbers, in single precision
     where it is exact, else in double precision, with room for its rounding.
@@ -137,38 +139,65 @@ def _scan(dim: int, least: np.ndarray, most: np.ndarray, k: int):
             for row in range(batch.num_rows):
                 cids = np.frombuffer(batch.column(0)[row].as_py(), "<i8")
                 codes = np.frombuffer(batch.column(1)[row].as_py(), np.uint8).reshape(-1, dim)
-                numbers = np.frombuffer(batch.column(2)[row].as_py(), "<i8")
-                q = np.frombuffer(batch.column(3)[row].as_py(), "<i4").reshape(-1, dim)
+                exact = np.frombuffer(batch.column(2)[row].as_py(), "<i4").reshape(-1, dim)
+                numbers = np.frombuffer(batch.column(3)[row].as_py(), "<i8")
+                q = np.frombuffer(batch.column(4)[row].as_py(), "<i4").reshape(-1, dim)
                 m, w = middle[at, codes], width[at, codes]
                 reach = float(np.abs(q).max(initial=0)) * (float(np.abs(m).max()) + float(w.max())) * dim
                 kind = np.float32 if reach < 1 << 23 else np.float64
                 room = 0 if reach < 1 << 52 else reach * 2.0**-40
                 m, w = m.astype(kind).T.copy(), w.astype(kind).T.copy()
+                found = [(numbers[:0], cids[:0], cids[:0])]
                 for first in range(0, len(q), ROWS):
                     part = q[first : first + ROWS].astype(kind)
                     centre, spread = part @ m, np.abs(part) @ w
                     low, high = centre - spread - room, centre + spread + room
                     i, j = np.nonzero(high >= _kth(low, k)[:, None])
-                    columns = [numbers[first + i], cids[j], low[i, j].astype(np.float64), high[i, j].astype(np.float64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "cid", "low", "high"])
+                    i, j, score = _certain(q[first : first + ROWS], exact, i, j, high[i, j], k)
+                    found.append((numbers[first + i], cids[j], score))
+                columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["q", "cid", "score"])
 
     return run
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        if n:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(n, -1).astype(np.int64) for c in (2, 3))
-            score = pa.array(np.einsum("ij,ij->i", x, y))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score], names=["q", "cid", "score"])
+def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i), np.int64)
+    for lo in range(0, len(i), BLOCK):
+        part = slice(lo, lo + BLOCK)
+        out[part] = np.einsum("ij,ij->i", q[i[part]].astype(np.int64), x[j[part]].astype(np.int64))
+    return out
 
 
-def _exact(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """``q, cid, score``: the exact vectors of candidates ``q, cid`` are read and multiplied."""
-    found = materialised(lookup(materialised(candidates.select("q", "cid")), classes.select("cid", "ints"), ["cid"]))
-    pairs = lookup(found, classes.select(F.col("cid").alias("q"), F.col("ints").alias("query")), ["q"])
-    return pairs.select("q", "cid", "ints", "query").mapInArrow(_scores, "q long, cid long, score long")
+def _certain(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the candidates ``i, j`` the ``k`` best of each query ``i`` and ties, with their scores.
+
+    Exact vectors are read in the order of the bounds ``high`` of twice the score: ``2 * k`` a query, then what the ``k``-th of
+    these scores does not rule out.
+    """
+    order = np.lexsort((-high, i))
+    i, j, high = i[order], j[order], high[order]
+    early = np.arange(len(i)) - np.searchsorted(i, i) < 2 * k
+    score = np.full(len(i), np.iinfo(np.int64).min)
+    score[early] = _scores(q, x, i[early], j[early])
+    # A query with fewer than ``k`` candidates, or early ones, keeps all.
+    limit = _limits(i[early], score[early], len(q), k)
+    late = ~early & (high >= 2.0 * limit[i])
+    score[late] = _scores(q, x, i[late], j[late])
+    read = early | late
+    i, j, score = i[read], j[read], score[read]
+    best = score >= _limits(i, score, len(q), k)[i]
+    return i[best], j[best], score[best]
+
+
+def _limits(i: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The ``k``-th largest score of each of ``n`` queries, the least number if there are fewer."""
+    order = np.lexsort((-score, i))
+    at = i[order]
+    kth = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+    out = np.full(n, np.iinfo(np.int64).min)
+    out[at[kth]] = score[order][kth]
+    return out
 
 
 def _best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
@@ -176,6 +205,21 @@ def _best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__k") <= k)
 
 
+def _pairs(file: DataFrame, listed: DataFrame, slices: int, parts: int) -> DataFrame:
+    """``cids, codes, exact, numbers, x``: each of the ``slices`` blocks of the file beside each of the ``parts`` blocks of queries.
+
+    Both sides are spelled out, so that the keys of the join are as many as the pairs and no key has many of them. The
+    optimizer takes a side for as large as before it was spelled out, and would broadcast the copies through the driver:
+    both are dealt out by the key, once, and merged where they are.
+    """
+    tasks = max(1, min(parts * slices, 20 * shuffle_partitions(file.sparkSession)))
+    salt = F.pmod(F.xxhash64("first"), F.lit(slices)).cast("int").alias("salt")
+    places = file.select("cids", "codes", "exact", salt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    copies = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    places, copies = (side.repartition(tasks, "part", "salt") for side in (places, copies))
+    return places.hint("merge").join(copies.hint("merge"), ["part", "salt"]).select("cids", "codes", "exact", "numbers", "x")
+
+
 def _search(classes: DataFrame, queries: DataFrame, dim: int, k: int, cells: int, block: int) -> DataFrame:
     """``q, cid, score`` that hold the ``k`` best classes of each query ``q``, a class too, and ties.
 
@@ -183,7 +227,7 @@ def _search(classes: DataFrame, queries: DataFrame, dim: int, k: int, cells: int
     """
     spark = classes.sparkSession
     edges, least, most = cuts(classes, dim, cells)
-    file = classes.select("cid", "ints").mapInArrow(_write(dim, edges, block), "first long, cids binary, codes binary")
+    file = classes.select("cid", "ints").mapInArrow(_write(dim, edges, block), "first long, cids binary, codes binary, exact binary")
     file = materialised(file)
     parts, slices = -(-queries.count() // QUERIES), file.count()
 
@@ -196,24 +240,8 @@ def _search(classes: DataFrame, queries: DataFrame, dim: int, k: int, cells: int
     dealt = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
     listed = dealt.groupBy("part").agg(F.collect_list(F.struct("q", "ints")).alias("items"))  # about ``QUERIES`` each
     listed = materialised(listed.mapInArrow(gather, "part int, numbers binary, x binary"))
-    # Every block of the file meets every block of queries. Both sides are spelled out, so that the keys of
-    # the joins are as many as the pairs and no key has many of them.
-    salt = F.pmod(F.xxhash64("first"), F.lit(slices)).cast("int").alias("salt")
-    places = file.select("first", salt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    copies = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    pairs = places.join(file, "first").join(copies, ["part", "salt"])
-    tasks = max(1, min(parts * slices, 20 * shuffle_partitions(spark)))
-    pairs = pairs.repartition(tasks, "first", "part").select("cids", "codes", "numbers", "x")
-    bounds = materialised(pairs.mapInArrow(_scan(dim, least, most, k), "q long, cid long, low double, high double"))
-    kth = _best(bounds, "q", [F.desc("low")], k).groupBy("q").agg(F.min("low").alias("kth"))
-    left = materialised(bounds.join(kth, "q").where("high >= kth"))
-    first = _best(left, "q", [F.desc("high"), F.asc("cid")], 2 * k)
-    near = materialised(_exact(first, classes))
-    certain = _best(near, "q", [F.desc("score")], k).groupBy("q").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    # Bounds are of twice the score. Fewer than ``k`` found: everything counts.
-    rest = left.join(certain.where(F.col("n") >= k), "q", "left").where("score is null or high >= 2.0D * score")
-    rest = rest.join(near.select("q", "cid"), ["q", "cid"], "left_anti")
-    return near.unionByName(_exact(rest, classes))
+    # The best of all blocks are among the best of each.
+    return _pairs(file, listed, slices, parts).mapInArrow(_scan(dim, least, most, k), "q long, cid long, score long")
 
 
 _GATHERED = pa.schema([("part", pa.int32()), ("numbers", pa.binary()), ("x", pa.binary())])

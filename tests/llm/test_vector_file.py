@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortframe.llm import vector_file as vf
+from cohortframe.session import materialised
 
 
 def brute(rows, k, step=50):
@@ -75,3 +76,13 @@ def test_most_vectors_are_not_read(spark):
     assert (middle - spread <= 2 * q @ x.T).all() and (2 * q @ x.T <= middle + spread).all()
     passed = middle + spread >= np.partition(middle - spread, -6, axis=1)[:, -6][:, None]
     assert passed.sum(1).mean() < 0.02 * len(x)
+
+
+def test_blocks_are_not_broadcast(spark):
+    """What is spelled out for every pair of blocks is shuffled, not sent through the driver, though the tables look small."""
+    file = materialised(spark.createDataFrame([(k, b"c", b"d", b"e") for k in range(5)], "first long, cids binary, codes binary, exact binary"))
+    listed = materialised(spark.createDataFrame([(k, b"n", b"x%d" % k) for k in range(3)], "part int, numbers binary, x binary"))
+    pairs = vf._pairs(file, listed, 5, 3)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = sorted(bytes(r["x"]) for r in pairs.collect())
+    assert found == sorted(b"x%d" % k for k in range(3) for _ in range(5))
