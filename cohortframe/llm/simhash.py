@@ -623,8 +623,8 @@ def _compared(words: int, similarity: float, limit: int, bits: int, tries: int):
 FILTER = 1 << 23
 
 
-def _only(rows: DataFrame, n: int):
-    """For mapInArrow: the rows whose first column is among the ``n`` of ``rows``, and a few others."""
+def _only(rows: DataFrame, n: int, inside: bool = True):
+    """For mapInArrow: the rows whose first column is among the ``n`` of ``rows``, and a few others; or else all but these."""
     size = 1 << int(min(FILTER, max(1 << 10, 16 * n))).bit_length() - 1
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -641,7 +641,7 @@ def _only(rows: DataFrame, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = _mixed(batch.column(0).to_numpy()) & (size - 1)
-            yield batch.filter(pa.array(words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1) == 1))
+            yield batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1) == 1) == inside))
 
     return run
 
@@ -708,5 +708,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     codes = _coded(docs, place, text, words)
     found = _similar_classes(codes, text, words, similarity, pairs)
     named = codes.select("__key", F.col("__code").alias("code")).join(found, "code")
-    kept = materialised(named.where(F.col("__key.row") == F.col("component_id.row")).select("__key.row"))
-    return codes.join(kept, F.col("__key.row") == F.col("row"), "left_semi").select(*docs.columns)
+    gone = materialised(named.where(F.col("__key.row") != F.col("component_id.row")).select("__key.row"))
+    # Most rows stay, and are seen to stay where they are; only the others, and what looks like them, are moved to be told apart.
+    n = gone.count()
+    rows, schema = codes.select("__row", *docs.columns), T.StructType([T.StructField("__row", T.LongType()), *docs.schema.fields])
+    stay = rows.mapInArrow(_only(gone, n, inside=False), schema)
+    doubt = rows.mapInArrow(_only(gone, n), schema).join(gone, F.col("__row") == F.col("row"), "left_anti")
+    return stay.unionByName(doubt).select(*docs.columns)

@@ -82,3 +82,15 @@ def test_filter_keeps_all_that_is_wanted(spark):
     wanted = rows.where("id % 40 = 0")
     kept = {r[0] for r in rows.mapInArrow(simhash._only(wanted.select(F.col("id")), 100), "id long").collect()}
     assert set(range(0, 4_000, 40)) <= kept and len(kept) < 1_000
+
+
+def test_rows_that_stay_are_not_moved(spark):
+    """One row of each class, though only what may go is joined; rows that share a key or have none are told apart."""
+    random = np.random.default_rng(8)
+    texts = [" ".join(f"w{random.integers(0, 10**9)}" for _ in range(30)) for _ in range(60)]
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, texts[7]), (200, texts[9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.one_of_each(docs)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[:60]))
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in joins and joins.count("LeftAnti") == 1
