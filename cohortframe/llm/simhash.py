@@ -321,8 +321,9 @@ MARGIN = 0.25
 #: A trie stands for the texts that agree on its first bits, this many at least; more bits once nodes would hold more texts than
 #: ``NODE`` on average. There are as many tries as leave out no more than the share ``MISSED`` of pairs at just the similarity.
 LEAST_BITS, NODE, MISSED = 12, 1_024, 0.001
-#: Bits by which the first two longs of a pair may differ: five standard deviations above what small sets at 0.8 do.
-ROUGH = 48
+#: The share of a limit on all carried bits by which the first half of them may differ: at 0.8 five standard deviations
+#: above what small sets do.
+ROUGH = 0.75
 #: Texts and bytes of a class of candidates that one task compares.
 CLASS, CLASS_BYTES = 1_024, 1 << 24
 #: Bytes of entries that a task takes.
@@ -511,7 +512,7 @@ def _near(codes: np.ndarray, a0: int, a: int, b0: int, b: int, limit: int) -> It
         skip = at - a0 if a0 == b0 else 0  # what lies before is the mirror image
         apart = np.bitwise_count(codes[at:to, 0, None] ^ two[0][skip:])
         apart += np.bitwise_count(codes[at:to, 1, None] ^ two[1][skip:])
-        i, j = np.nonzero(apart <= min(limit, ROUGH))
+        i, j = np.nonzero(apart <= ROUGH * limit)
         yield _close(codes, i + at, j + b0 + skip, limit)
 
 
@@ -535,7 +536,7 @@ def _pairs(entries: np.ndarray, start: np.ndarray, first: np.ndarray, limit: int
         if len(part):
             i, j = products(a0[part], a[part], b0[part], b[part], same[part])
             apart = np.bitwise_count(codes[i, 0] ^ codes[j, 0]) + np.bitwise_count(codes[i, 1] ^ codes[j, 1])
-            rough = apart <= min(limit, ROUGH)
+            rough = apart <= ROUGH * limit
             yield _close(codes, i[rough], j[rough], limit)
 
 
